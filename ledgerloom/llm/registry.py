@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import media, mixing, urls
+from . import media, mixing, quality, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op3_mixing": mixing.op3_mixing,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
 }
 ORACLES = {"op1_url_filters": urls.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
