@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import media, mixing, quality, urls
+from . import media, mixing, quality, substrings, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op3_mixing": mixing.op3_mixing,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
 }
-ORACLES = {"op1_url_filters": urls.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
+ORACLES = {"op1_url_filters": urls.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op8_substring_dedup": substrings.OP8_SQL}
