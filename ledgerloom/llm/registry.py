@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import media, mixing, quality, substrings, urls
+from . import media, mixing, ngram_join, quality, substrings, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
