@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import media, mixing, ngram_join, pii, quality, substrings, urls
+from . import media, mixing, ngram_join, pieces, pii, quality, substrings, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
