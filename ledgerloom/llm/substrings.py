@@ -30,8 +30,9 @@ from .store import BROADCAST_ROWS, materialize
 WINDOW = 35
 #: Windows of one bucket, and the bound on buckets; windows held by a task before it sends them on.
 BUCKET_WINDOWS, MAX_BUCKETS, HOLD = 200_000, 1 << 20, 1_000_000
-_PACKED = "bucket int, hashes binary, keys binary, runs binary, places binary"
-_NAMES = ["bucket", "hashes", "keys", "runs", "places"]
+#: kind 0: the windows of stretch ``src`` in ``bucket`` (hashes, indexes); 1: indexes of repeated windows; 2: its documents (keys, windows of each).
+_PACKED = "bucket int, src long, kind int, hashes binary, places binary"
+_NAMES = ["bucket", "src", "kind", "hashes", "places"]
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -43,30 +44,11 @@ def buckets_for(docs: DataFrame) -> int:
     return n
 
 
-def _rows(bucket: np.ndarray, hashes: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket; the arguments are sorted by bucket, then by key. Keys are run-length coded."""
-    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    run = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]))))
-    bounds = np.append(edge, len(bucket))
-    run_bounds = np.append(np.searchsorted(run, edge), len(run))
-    lens = np.diff(np.append(run, len(bucket))).astype(np.uint32)
-    cells = packed(hashes, bounds if len(hashes) else np.zeros(len(edge) + 1, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), cells, packed(key[run], run_bounds), packed(lens, run_bounds), packed(place.astype(np.uint32), bounds)], _NAMES)
-
-
-def _unrow(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, _ = unpacked(batch.column("hashes"), np.uint64)
-    keys, _ = unpacked(batch.column("keys"), np.int64)
-    runs, _ = unpacked(batch.column("runs"), np.uint32)
-    place, _ = unpacked(batch.column("places"), np.uint32)
-    return h, np.repeat(keys, runs), place
-
-
-def _by_bucket(batches):
-    """Batches cut where the bucket changes, as lists of whole buckets."""
+def _by_bucket(batches, column: str = "bucket"):
+    """(value, slices) for each run of equal values in a column, across batches."""
     now, held = None, []
     for b in batches:
-        ids = np.asarray(b.column("bucket"))
+        ids = np.asarray(b.column(column))
         edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
         for i, j in zip(edges, edges[1:]):
             if ids[i] != now and held:
@@ -78,98 +60,122 @@ def _by_bucket(batches):
         yield now, held
 
 
-def intervals(docs: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(text_key, intervals): for each text with repeated windows, packed uint32 pairs [first word, end word)."""
+def _row(bucket, src, kind, hashes, hash_bounds, places, place_bounds) -> pa.RecordBatch:
+    n = len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(bucket, np.int32)), pa.array(np.full(n, src, np.int64)), pa.array(np.full(n, kind, np.int32)), packed(hashes, hash_bounds), packed(places.astype(np.uint32), place_bounds)], _NAMES)
+
+
+def repeated_spots(docs: DataFrame, spots, finish) -> DataFrame:
+    """(text_key, intervals) made by ``finish(doc, rank)`` from the spots whose hash occurs elsewhere, too.
+
+    ``spots(chunk)``: (number of spots of each document, hashes in order). ``finish``: takes the document and the
+    rank among the spots of its document of each repeated spot, in order; gives values (uint32), the bounds of the
+    cells and the document of each cell.
+    """
     n_buckets = buckets_for(docs)
     shift = U(64 - n_buckets.bit_length() + 1)
     hold = min(max(HOLD, 8 * n_buckets), 8 * HOLD)
 
-    def emit(parts):
-        h, key, place = (np.concatenate(x) for x in zip(*parts))
+    def emit(parts, src):
+        h, keys, counts = (np.concatenate(x) for x in zip(*parts))
+        home = int((np.array([src]).astype(np.uint64) * U(0x9E3779B97F4A7C15))[0] >> shift)
+        yield _row([n_buckets + home], src, 2, keys, [0, len(keys)], counts, [0, len(counts)])
         order = np.argsort(h, kind="stable")
         s = h[order]
         third = np.zeros(len(h), bool)
         if len(h) > 2:
             third[order[2:]] = s[2:] == s[:-2]
-        main = ~third
-        hm, km, pm = h[main], key[main], place[main]
-        b = (hm >> shift).astype(np.int64)
-        o = np.argsort(b.astype(np.uint32), kind="stable")
-        if len(o):
-            yield _rows(b[o], hm[o], km[o], pm[o])
-        if third.any():
-            kt, pt = key[third], place[third]
-            b = n_buckets + (kt.view(np.uint64) >> shift).astype(np.int64)
-            o = np.lexsort((kt, b))
-            yield _rows(b[o], np.empty(0, np.uint64), kt[o], pt[o])
+        at = np.flatnonzero(~third)
+        b = (h[at] >> shift).astype(np.uint32)
+        at = at[np.argsort(b, kind="stable")]
+        b = (h[at] >> shift).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        bounds = np.append(edge, len(b))
+        yield _row(b[edge], src, 0, h[at], bounds, at, bounds)
+        at = np.flatnonzero(third)
+        if len(at):
+            yield _row([n_buckets + home], src, 1, np.empty(0, np.uint64), [0, 0], at, [0, len(at)])
 
     def windows(batches):
-        parts, held = [], 0
+        from pyspark import TaskContext
+
+        src, parts, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            keys = np.asarray(batch.column(0).cast(pa.int64()).fill_null(0))
+            keys = np.asarray(batch.column(0).fill_null(0))
             for c in chunks(batch.column(1)):
-                at = inside(c, w)
-                if not len(at):
+                counts, hashes = spots(c)
+                if not len(hashes):
                     continue
-                h = window_hashes(c.hashes(), w)[at]
-                doc = c.doc_of_word()[at]
-                parts.append((h, keys[c.lo + doc], (at - c.first[doc]).astype(np.uint32)))
-                held += len(at)
+                has = np.flatnonzero(counts)
+                parts.append((hashes, keys[c.lo + has], counts[has]))
+                held += len(hashes)
                 if held >= hold:
-                    yield from emit(parts)
-                    parts, held = [], 0
+                    yield from emit(parts, src)
+                    src, parts, held = src + 1, [], 0
         if parts:
-            yield from emit(parts)
-
-    def places(parts):
-        key, place = (np.concatenate(x) for x in zip(*parts))
-        b = (key.view(np.uint64) >> shift).astype(np.int64)
-        o = np.argsort(key.view(np.uint64), kind="stable")
-        return _rows(b[o], np.empty(0, np.uint64), key[o], place[o])
+            yield from emit(parts, src)
 
     def repeated(batches):
-        parts, held = [], 0
         for bucket, pieces in _by_bucket(batches):
-            h, key, place = (np.concatenate(x) for x in zip(*map(_unrow, pieces)))
-            if bucket < n_buckets:
-                order = np.argsort(h)
-                s = h[order]
-                same = np.zeros(len(s) + 1, bool)
-                same[1:-1] = s[1:] == s[:-1]
-                hit = order[same[1:] | same[:-1]]
-                key, place = key[hit], place[hit]
-            if len(key):
-                parts.append((key, place))
-                held += len(key)
-            if held >= 4 * HOLD:
-                yield places(parts)
-                parts, held = [], 0
-        if parts:
-            yield places(parts)
+            if bucket >= n_buckets:
+                yield from pieces
+                continue
+            piece = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+            h, bounds = unpacked(piece.column("hashes"), np.uint64)
+            place, _ = unpacked(piece.column("places"), np.uint32)
+            order = np.argsort(h)
+            s = h[order]
+            same = np.zeros(len(s) + 1, bool)
+            same[1:-1] = s[1:] == s[:-1]
+            hit = np.zeros(len(h), bool)
+            hit[order[same[1:] | same[:-1]]] = True
+            n = np.concatenate(([0], np.cumsum(hit)))[bounds]
+            out = pa.RecordBatch.from_arrays([piece.column("bucket"), piece.column("src"), pa.array(np.ones(len(piece), np.int32)), packed(np.empty(0, np.uint64), np.zeros(len(piece) + 1, np.int64)), packed(place[hit], n)], _NAMES)
+            yield out.filter(pa.array(np.diff(n) > 0))
 
     def merged(batches):
-        for _, pieces in _by_bucket(batches):
-            _, key, place = (np.concatenate(x) for x in zip(*map(_unrow, pieces)))
-            o = np.lexsort((place, key))
-            k, p = key[o], place[o].astype(np.int64)
-            start = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] > p[:-1] + w)))
-            end = np.append(start[1:], True)
-            spans = np.stack((p[start], p[end] + w), 1).astype(np.uint32).ravel()
-            ks = k[start]
-            edge = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(ks[edge]), packed(spans, np.append(edge, len(ks)) * 2)], ["text_key", "intervals"])
+        for _, pieces in _by_bucket(batches, "src"):
+            piece = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+            kind = np.asarray(piece.column("kind"))
+            about = piece.filter(pa.array(kind == 2))
+            keys, _ = unpacked(about.column("hashes"), np.int64)
+            counts, _ = unpacked(about.column("places"), np.uint32)
+            place = np.sort(unpacked(piece.filter(pa.array(kind == 1)).column("places"), np.uint32)[0]).astype(np.int64)
+            if not len(place):
+                continue
+            ends = np.cumsum(counts.astype(np.int64))
+            doc = np.searchsorted(ends, place, side="right")
+            values, bounds, cells = finish(doc, place - (ends - counts)[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cells]), packed(values, bounds)], ["text_key", "intervals"])
 
     keyed = docs.select(F.xxhash64("text").alias("k"), F.col("text").cast("string"))
     sent = keyed.mapInArrow(windows, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(repeated, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return materialize(found.mapInArrow(merged, "text_key long, intervals binary"))
+    found = sent.mapInArrow(repeated, _PACKED).repartition("src").sortWithinPartitions("src")
+    return materialize(found.mapInArrow(merged, "text_key long, intervals binary").groupBy("text_key").agg(F.first("intervals").alias("intervals")))
+
+
+def intervals(docs: DataFrame, w: int = WINDOW) -> DataFrame:
+    """(text_key, intervals): for each text with repeated windows, packed uint32 pairs [first word, end word)."""
+
+    def spots(c):
+        at = inside(c, w)
+        return np.maximum(0, c.counts() - w + 1), window_hashes(c.hashes(), w)[at] if len(at) else at
+
+    def finish(doc, p):
+        start = np.concatenate(([True], (doc[1:] != doc[:-1]) | (p[1:] > p[:-1] + w)))
+        end = np.append(start[1:], True)
+        d = doc[start]
+        edge = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        return np.stack((p[start], p[end] + w), 1).astype(np.uint32).ravel(), np.append(edge, len(d)) * 2, d[edge]
+
+    return repeated_spots(docs, spots, finish)
 
 
 _OUT = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("intervals", T.ArrayType(T.ArrayType(T.LongType())))]
 
 
-def _joined(docs: DataFrame, w: int) -> DataFrame:
-    spans = intervals(docs, w)
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` with column ``__spans`` last; the spans are broadcast when counted to be small, else both sides shuffle."""
     size = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("intervals")).alias("b")).first()
     if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= 64 << 20:
         spans = F.broadcast(spans)
@@ -177,7 +183,7 @@ def _joined(docs: DataFrame, w: int) -> DataFrame:
     return docs.withColumn("__key", F.xxhash64("text")).join(spans, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
 
 
-def _cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, bytes]:
+def cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by one space)."""
     words = raw.split()
     n, out, at = len(words), [], 0
@@ -199,14 +205,14 @@ def dedup(docs: DataFrame, w: int = WINDOW) -> DataFrame:
             out = [[], [], [], []]
             for text, spans in zip(b.column(at), b.column(b.num_columns - 1).to_pylist()):
                 spans = np.frombuffer(spans or b"", np.uint32)
-                n, gone, kept = _cut((text.as_py() or "").encode(), spans)
+                n, gone, kept = cut((text.as_py() or "").encode(), spans)
                 for x, v in zip(out, (n, gone, kept.decode(), spans.reshape(-1, 2).tolist())):
                     x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v, k) for v, k in zip(out, kinds))], [*names, *(x for x, _ in _OUT)])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in _OUT)])
-    return _joined(docs, w).mapInArrow(run, schema)
+    return with_spans(docs, intervals(docs, w)).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, w: int = WINDOW) -> DataFrame:
@@ -216,13 +222,13 @@ def digest(docs: DataFrame, w: int = WINDOW) -> DataFrame:
         for b in batches:
             out = []
             for text, spans in zip(b.column(1), b.column(2).to_pylist()):
-                n, gone, kept = _cut((text.as_py() or "").encode(), np.frombuffer(spans or b"", np.uint32))
+                n, gone, kept = cut((text.as_py() or "").encode(), np.frombuffer(spans or b"", np.uint32))
                 out.append((n, gone, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _joined(docs, w).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(docs, intervals(docs, w)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op8_substring_dedup(spark, sf_dir):
