@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import media, mixing, ngram_join, pieces, pii, quality, substrings, urls
+from . import html_text, media, mixing, ngram_join, pieces, pii, quality, substrings, suffixes, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
+    "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_suffix_array": suffixes.op7_suffix_array,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
