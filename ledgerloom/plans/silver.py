@@ -124,8 +124,12 @@ def with_lines(df: DataFrame) -> DataFrame:
     amount = lambda c: _sum(F.transform(c, lambda x: num(x["tax_amount"])))
     known = F.exists("__taxes", lambda x: name(x).rlike(_word("|".join(_KINDS.values()))))
     out = {"line_taxable": F.when(some("__lines"), _sum(each)), "line_tax": F.when(some("__taxes"), amount(F.col("__taxes")))}
+
+    def named(words: str):
+        return lambda x: name(x).rlike(_word(words))
+
     for kind, names in _KINDS.items():
-        out[f"line_{kind}"] = F.when(some("__taxes") & known, amount(F.filter("__taxes", lambda x, w=names: name(x).rlike(_word(w)))))
+        out[f"line_{kind}"] = F.when(some("__taxes") & known, amount(F.filter("__taxes", named(names))))
     return df.withColumns({k: v.cast("decimal(29,9)") for k, v in out.items()}).drop("__lines", "__header", "__taxes")
 
 
