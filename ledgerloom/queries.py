@@ -500,15 +500,15 @@ def mis_matrix_wide(spark, sf_dir):
 
 def _items(spark, sf_dir):
     groups = {"revenue": ["services_revenue"], "other_income": ["accruals"], "offshore": ["parts_low"], "onshore": ["bank_costs"], "sales": [], "expenses": ["parts_low", "other_cogs", "bank_costs"]}
-    return mis.line_items(_matrix(spark, sf_dir), date(1996, 10, 1), date(1996, 7, 1), {k: v or [""] for k, v in groups.items()})
+    return mis.line_items(_matrix(spark, sf_dir).withColumn("amount", F.round("amount", 0)), date(1996, 10, 1), date(1996, 7, 1), {k: v or [""] for k, v in groups.items()})
 
 
 @query("mis_line_items", f"""
 WITH m AS ({_MATRIX_SQL}), p AS (SELECT report_month, sum(amount) FILTER (category = 'services_revenue') AS rev, sum(amount) FILTER (category = 'accruals') AS inc, sum(amount) FILTER (category = 'parts_low') AS off, sum(amount) FILTER (category = 'bank_costs') AS onb, sum(amount) FILTER (category IN ('parts_low', 'other_cogs', 'bank_costs')) AS exp FROM m GROUP BY 1),
 q AS (SELECT *, CASE WHEN report_month >= DATE '1996-07-01' THEN 1125000.0 ELSE 0 END AS paid, CASE WHEN report_month >= DATE '1996-10-01' THEN 0.5 ELSE 0 END AS share FROM p)
-SELECT report_month, round(rev + inc, -1) AS total_revenue, round(off + onb + paid * share + 25800, -1) AS total_cogs, round(paid * (1 - share), -1) AS sales_marketing FROM q""")
+SELECT report_month, rev + inc AS total_revenue, off + onb + paid * share + 25800 AS total_cogs, paid * (1 - share) AS sales_marketing FROM q""")
 def mis_line_items(spark, sf_dir):
-    return _items(spark, sf_dir).select("report_month", F.round("total_revenue", -1).alias("total_revenue"), F.round("total_cogs", -1).alias("total_cogs"), F.round("sales_marketing", -1).alias("sales_marketing"))
+    return _items(spark, sf_dir).select("report_month", "total_revenue", "total_cogs", "sales_marketing")
 
 
 @query("mis_run_rate")
