@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .kernels import U, hash_spans, mix
 
 MODEL = "piece_bpe_32k.model"
-ALPHA = 1.0
+ALPHA = 0.5
 MARK = "▁"
 #: Cached units of a worker; bytes of text taken at once.
 CACHE, STRETCH = 200_000, 4 << 20
