@@ -9,9 +9,12 @@ between different components is missed:
   decides nothing alone: it only gives provisional labels.
 * *Blocked product.* Under one global order of n-grams (rare before frequent, then by hash) two linked nodes
   share an n-gram among the first ``n - ceil(0.75 n) + 1`` of each. These prefixes are the columns of the
-  product, cut into blocks by hash; within a block overlap counts are accumulated for pairs of different label
-  whose sizes allow a link. Counts are added over blocks, and pairs whose count plus the largest possible rest
-  stays below the bound derived from their sizes are discarded.
+  product, cut into blocks by hash. A first product only tells which documents share a list with another label;
+  of these, the n-grams that any of them shares are counted on their whole sets, and documents that share too few
+  for any link are left out (edited copies that drifted too far, pages around a common passage). The second
+  product accumulates overlap counts in each block, for pairs of different label whose sizes and shared sizes
+  allow a link. Counts are added over blocks, and pairs whose count plus the largest possible rest stays below
+  the bound derived from their sizes are discarded.
 * *Frequent n-grams* (known from a counting pass; at most ``MAX_HOT`` of them, the threshold rises until they
   fit) come last in the order, so that they are used only by documents made of them. Their lists are never
   gathered in one task: they stay rows; lists under one label are dropped, and in the others the rows outside
@@ -35,17 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, roots
 from .kernels import FOLDED, U, chunks, mix, packed, unpacked, window_hashes
 from .store import BROADCAST_ROWS, materialize
-from .substrings import _by_bucket, buckets_for
+from .substrings import _by_bucket, buckets_for, repeated_spots
 
 N, PERCENT = 5, 75
-BANDS, BINS_PER_BAND = 8, 4
+BANDS, BINS_PER_BAND = 12, 3
 #: An n-gram in more nodes than this is frequent; at most MAX_HOT frequent ones are told to every task.
 HOT, MAX_HOT = 64, 1 << 18
-#: A list of a block longer than this is handed on as rows, like those of frequent n-grams.
-LONG = 1024
+#: An n-gram that more nodes of one center have, and the center lacks, is taken into the center.
+USUAL = 32
 #: Postings that a task holds before it sends them on.
 HOLD = 1_000_000
 SALT = U(0x632BE59BD9B4E019)
@@ -120,8 +123,8 @@ def _pick(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__d"]) & (docs["t"] == wanted["__t"]), "left_semi")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of nodes that are links, by their whole sets."""
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, rest: bool = False) -> DataFrame:
+    """Pairs (x, y) of nodes with their exact overlap: (x, y, nx, ny, both, ok, rest: n-grams of x that y lacks)."""
     ends = materialize(pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct().join(nodes, "k").select("doc_id", "t", "k"))
 
     def run(batches):
@@ -136,29 +139,36 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
         for b in batches:
             a, ab = unpacked(b.column("sx"), np.uint64)
             c, cb = unpacked(b.column("sy"), np.uint64)
-            ok = np.zeros(b.num_rows, bool)
+            both, left = np.zeros(b.num_rows, np.int64), []
             for i in range(b.num_rows):
                 p, q = a[ab[i] : ab[i + 1]], c[cb[i] : cb[i + 1]]
-                if len(p) > len(q):
-                    p, q = q, p
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
-                both = int((q[at] == p).sum())
-                ok[i] = 100 * both >= percent * (len(p) + len(q) - both)
-            mask = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(mask), b.column("y").filter(mask)], ["x", "y"])
+                hit = q[at] == p
+                both[i] = hit.sum()
+                if rest:
+                    left.append(p[~hit])
+            nx, ny = np.diff(ab), np.diff(cb)
+            ok = 100 * both >= percent * (nx + ny - both)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(nx - both if rest else 0 * nx))).astype(np.int32)), pa.array((np.concatenate(left) if left else np.empty(0, np.uint64)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(nx), pa.array(ny), pa.array(both), pa.array(ok), lists], ["x", "y", "nx", "ny", "both", "ok", "rest"])
 
     joined = pairs.join(whole.select(F.col("k").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("k").alias("y"), F.col("s").alias("sy")), "y")
-    return materialize(joined.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long"))
+    return materialize(joined.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long, nx long, ny long, both long, ok boolean, rest array<long>"))
 
 
-def first_links(nodes: DataFrame, percent: int) -> DataFrame:
-    """One candidate per node: the hub it shares most bands with."""
-    banded = nodes.select("k", "n", F.explode("bands").alias("band")).where("band != 0")
-    hubs = banded.groupBy("band").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("hub.k").alias("y"), F.col("hub.n").alias("ny"))
-    near = banded.join(hubs, "band").where(f"k != y AND 100 * least(n, ny) >= {percent} * greatest(n, ny)")
-    votes = near.groupBy("k", "y").agg(F.count(F.lit(1)).alias("v"))
-    return votes.groupBy("k").agg(F.max(F.struct("v", "y")).alias("best")).select(F.col("k").alias("x"), F.col("best.y").alias("y"))
+def first_links(nodes: DataFrame) -> DataFrame:
+    """One candidate per node: the hub it shares most bands with. A bucket's hub is its most central node, the one
+    whose buckets hold most nodes: in a group of edited copies that is the text they were made from."""
+    banded = materialize(nodes.select("k", "n", F.explode("bands").alias("band")).where("band != 0"))
+    held = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    banded = banded.join(held, "band")
+    central = banded.groupBy("k").agg(F.sum("c").alias("w"))
+    banded = materialize(banded.join(central, "k").select("band", "k", "n", "w"))
+    hubs = banded.groupBy("band").agg(F.max(F.struct("w", "k", "n")).alias("hub")).select("band", F.col("hub.k").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.w").alias("wy"))
+    near = banded.join(hubs, "band").where("k != y")
+    votes = near.groupBy("k", "y", "wy").agg(F.count(F.lit(1)).alias("v"))
+    return votes.groupBy("k").agg(F.max(F.struct("v", "wy", "y")).alias("best")).select(F.col("k").alias("x"), F.col("best.y").alias("y"))
 
 
 def _prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
@@ -214,145 +224,204 @@ def frequent(docs: DataFrame, n: int, percent: int, n_buckets: int) -> np.ndarra
     return np.sort(np.array([r[0] for r in hot.where(F.col("df") >= least).select("token").collect()], np.int64).view(np.uint64))
 
 
-_ROW = "kind int, x long, y long, nx long, ny long, c long"
+_ROW = "kind int, x long, y long, label long"
 
 
-def product(docs: DataFrame, hot: np.ndarray, n: int, percent: int, n_buckets: int) -> DataFrame:
-    """The blocked product. Rows of kind 0: pairs (x, y, sizes, shared n-grams of this task's blocks); of kind 1:
-    a posting (n-gram x, node y, size nx, label c) of a frequent n-gram or a long list.
-
-    ``docs``: doc_id, t, text, label (null: the node's own key)."""
+def mixed_lists(docs: DataFrame, hot: np.ndarray, n: int, percent: int, n_buckets: int) -> DataFrame:
+    """One pass over the blocks. Rows of kind 2: nodes x that share a list with a node of another label; of kind 1:
+    a posting (n-gram x, node y, label) of a frequent n-gram. ``docs``: doc_id, t, text, label (null: own key)."""
     shift = U(64 - n_buckets.bit_length() + 1)
     told = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["bucket", "tokens", "nodes", "sizes", "labels"]
+    names = ["bucket", "tokens", "nodes", "labels"]
 
-    def rows(b, t, k, s, lab):
+    def rows(b, t, k, lab):
         o = np.argsort(b, kind="stable")
-        b, t, k, s = b[o], t[o], k[o], s[o]
+        b, t, k = b[o], t[o], k[o]
         edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         bounds = np.append(edge, len(b))
         own = packed(lab[o], bounds) if lab is not None else pa.array([b""] * len(edge), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(b[edge].astype(np.int32)), packed(t, bounds), packed(k, bounds), packed(s.astype(np.uint32), bounds), own], names)
+        return pa.RecordBatch.from_arrays([pa.array(b[edge].astype(np.int32)), packed(t, bounds), packed(k, bounds), own], names)
 
     def emit(parts):
-        t, k, s, lab, is_hot = (np.concatenate(x) for x in zip(*parts))
+        t, k, lab, is_hot = (np.concatenate(x) for x in zip(*parts))
         b = (t >> shift).astype(np.int64)
         b[is_hot] = n_buckets + (mix(k[is_hot].view(np.uint64)) >> shift).astype(np.int64)
         plain = lab == k  # most nodes: their label is not sent
         if plain.any():
-            yield rows(b[plain], t[plain], k[plain], s[plain], None)
+            yield rows(b[plain], t[plain], k[plain], None)
         if not plain.all():
-            yield rows(b[~plain], t[~plain], k[~plain], s[~plain], lab[~plain])
+            yield rows(b[~plain], t[~plain], k[~plain], lab[~plain])
 
     def postings(batches):
-        parts, held, known = [], 0, told.value
-        for batch in batches:
-            given = batch.column(3)
-            has = np.asarray(given.is_valid())
-            given = np.asarray(given.fill_null(0))
-            for c in chunks(batch.column(2)):
-                tokens, doc, size = sets(c, n)
-                if not len(tokens):
-                    continue
-                key = set_keys(tokens, size)
-                label = np.where(has[c.lo : c.hi], given[c.lo : c.hi], key)
-                hits = np.zeros(len(tokens), bool)
-                if len(known):
-                    at = np.searchsorted(known, tokens)
-                    at[at == len(known)] = 0
-                    hits = known[at] == tokens
-                p = _prefix_sizes(size, percent)
-                start = np.cumsum(size) - size
-                cold = np.concatenate(([0], np.cumsum(~hits)))
-                rank_cold = cold[1:] - np.repeat(cold[start], size)
-                n_cold = cold[start + size] - cold[start]
-                rank_hot = np.arange(1, len(tokens) + 1) - np.repeat(start, size) - rank_cold
-                take = np.where(hits, rank_hot <= np.repeat(p - n_cold, size), rank_cold <= np.repeat(p, size))
-                d = doc[take]
-                parts.append((tokens[take], key[d], size[d], label[d], hits[take]))
-                held += len(d)
+        parts, held = [], 0
+        for key, _, label, tokens, doc, hits in _prefixes(batches, told.value, n, percent):
+            parts.append((tokens, key[doc], label[doc], hits))
+            held += len(doc)
             if held >= HOLD:
                 yield from emit(parts)
                 parts, held = [], 0
         if parts:
             yield from emit(parts)
 
-    def row(kind, x, y, nx, ny, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(np.ascontiguousarray(v).astype(np.int64, copy=False)) for v in (x, y, nx, ny, c))], [a.split()[0] for a in _ROW.split(", ")])
-
     def open_(pieces):
         out = []
         for p in pieces:
             t, _ = unpacked(p.column("tokens"), np.uint64)
             k, kb = unpacked(p.column("nodes"), np.int64)
-            s, _ = unpacked(p.column("sizes"), np.uint32)
             lab, lb = unpacked(p.column("labels"), np.int64)
             if len(lab) != len(k):  # rows without labels among rows with them
                 full = k.copy()
-                has = np.repeat(np.diff(lb) > 0, np.diff(kb))
-                full[has] = lab
+                full[np.repeat(np.diff(lb) > 0, np.diff(kb))] = lab
                 lab = full
-            out.append((t, k, s.astype(np.int64), lab))
+            out.append((t, k, lab))
         return [np.concatenate(x) for x in zip(*out)]
 
-    def block(batches):
-        held: list = []
-        n_held = 0
-
-        def flush():
-            x, y, nx, ny = (np.concatenate(v) for v in zip(*held))
-            o = np.lexsort((y, x))
-            x, y, nx, ny = x[o], y[o], nx[o], ny[o]
-            edge = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-            return row(0, x[edge], y[edge], nx[edge], ny[edge], np.diff(np.append(edge, len(x))))
+    def row(kind, x, y, lab):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(lab)], ["kind", "x", "y", "label"])
 
+    def block(batches):
         for bucket, pieces in _by_bucket(batches):
-            t, k, s, lab = open_(pieces)
+            t, k, lab = open_(pieces)
             if bucket >= n_buckets:
-                yield row(1, t.view(np.int64), k, s, np.zeros(len(t), np.int64), lab)
+                yield row(1, t.view(np.int64), k, lab)
                 continue
-            o = np.lexsort((k, t))
-            t, k, s, lab = t[o], k[o], s[o], lab[o]
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))  # equal documents
-            t, k, s, lab = t[new], k[new], s[new], lab[new]
+            o = np.argsort(t)
+            t, k, lab = t[o], k[o], lab[o]
             edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            size = np.diff(np.append(edge, len(t)))
             mixed = np.minimum.reduceat(lab, edge) != np.maximum.reduceat(lab, edge)
-            long_ = np.repeat(mixed & (size > LONG), size)
-            if long_.any():
-                yield row(1, t[long_].view(np.int64), k[long_], s[long_], np.zeros(int(long_.sum()), np.int64), lab[long_])
-            use = np.repeat(mixed & (size <= LONG), size)
-            t, k, s, lab = t[use], k[use], s[use], lab[use]
-            for d in range(1, LONG):
-                at = np.flatnonzero(t[d:] == t[:-d]) if len(t) > d else ()
-                if not len(at):
-                    break
-                small, large = np.minimum(s[at], s[at + d]), np.maximum(s[at], s[at + d])
-                at = at[(lab[at] != lab[at + d]) & (100 * small >= percent * large)]
-                if len(at):
-                    held.append((k[at], k[at + d], s[at], s[at + d]))  # k is ascending within a list
-                    n_held += len(at)
-                    if n_held >= 2 * HOLD:
-                        yield flush()
-                        held, n_held = [], 0
-        if held:
-            yield flush()
-
-    sent = docs.mapInArrow(postings, "bucket int, tokens binary, nodes binary, sizes binary, labels binary").repartition("bucket").sortWithinPartitions("bucket")
+            x = np.unique(k[np.repeat(mixed, np.diff(np.append(edge, len(t))))])
+            yield row(2, x, x, x)
+
+    sent = docs.mapInArrow(postings, "bucket int, tokens binary, nodes binary, labels binary").repartition("bucket").sortWithinPartitions("bucket")
     return materialize(sent.mapInArrow(block, _ROW))
 
 
-def hot_pairs(made: DataFrame, percent: int) -> DataFrame:
-    """Pairs from the lists of frequent n-grams: rows outside the list's most common label, with all rows."""
-    lists = made.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("k"), F.col("nx").alias("n"), F.col("c").alias("label"))
-    by = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("v"))
-    most = by.groupBy("token").agg(F.max(F.struct("v", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("most"))
-    lists = materialize(lists.distinct().join(most, "token"))
-    few = lists.where("label != most").select("token", F.col("k").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    met = few.join(lists, "token").where(f"la != label AND (label = most OR a < k) AND 100 * least(n, na) >= {percent} * greatest(n, na)")
-    swap = F.col("a") < F.col("k")
-    pick = lambda p, q: F.when(swap, F.col(p)).otherwise(F.col(q))
-    return met.select(pick("a", "k").alias("x"), pick("k", "a").alias("y"), pick("na", "n").alias("nx"), pick("n", "na").alias("ny"), F.lit(1).cast("long").alias("c"))
+def _prefixes(batches, known: np.ndarray, n: int, percent: int):
+    """Per chunk: node keys, sizes, labels of its documents; n-grams, document index and frequency flag of their prefixes."""
+    for batch in batches:
+        given = batch.column(3)
+        has = np.asarray(given.is_valid())
+        given = np.asarray(given.fill_null(0))
+        for c in chunks(batch.column(2)):
+            tokens, doc, size = sets(c, n)
+            if not len(tokens):
+                continue
+            key = set_keys(tokens, size)
+            label = np.where(has[c.lo : c.hi], given[c.lo : c.hi], key)
+            hits = np.zeros(len(tokens), bool)
+            if len(known):
+                at = np.searchsorted(known, tokens)
+                at[at == len(known)] = 0
+                hits = known[at] == tokens
+            p = _prefix_sizes(size, percent)
+            start = np.cumsum(size) - size
+            cold = np.concatenate(([0], np.cumsum(~hits)))
+            rank_cold = cold[1:] - np.repeat(cold[start], size)
+            n_cold = cold[start + size] - cold[start]
+            rank_hot = np.arange(1, len(tokens) + 1) - np.repeat(start, size) - rank_cold
+            take = np.where(hits, rank_hot <= np.repeat(p - n_cold, size), rank_cold <= np.repeat(p, size))
+            yield key, size, label, tokens[take], doc[take], hits[take]
+
+
+def prefix_rows(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(token, k, n, label) of the prefixes of few documents."""
+    told = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        for key, size, label, tokens, doc, _ in _prefixes(batches, told.value, n, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(key[doc]), pa.array(size[doc]), pa.array(label[doc])], ["token", "k", "n", "label"])
+
+    return docs.mapInArrow(run, "token long, k long, n long, label long").distinct()
+
+
+def _met(lists: DataFrame, keys: list[str], apart: str, allowed: str) -> DataFrame:
+    """Pairs of rows of one list that differ in column ``apart``, and in label; ``allowed``: a condition on both, the
+    other side's columns with a leading ``o``. Lists in which all are alike are dropped; in the others, only the
+    rows outside the most common kind meet all rows, so that a list of one large group costs no pairs of its own."""
+    alike = lists.groupBy(*keys).agg(F.min(apart).alias("a"), F.max(apart).alias("b")).where("a != b").select(*keys)
+    lists = materialize(lists.join(alike, keys))
+    by = lists.groupBy(*keys, apart).agg(F.count(F.lit(1)).alias("v"))
+    most = by.groupBy(*keys).agg(F.max(F.struct("v", apart)).alias("m")).select(*keys, F.col(f"m.{apart}").alias("most"))
+    lists = lists.join(most, keys)
+    few = lists.where(f"{apart} != most").drop("most")
+    few = few.select(*keys, *[F.col(c).alias(f"o{c}") for c in few.columns if c not in keys])
+    met = few.join(lists, keys).where(f"olabel != label AND o{apart} != {apart} AND ({apart} = most OR ok < k) AND ({allowed})")
+    return met.select(F.least("k", "ok").alias("x"), F.greatest("k", "ok").alias("y"), *[F.col(c) for c in met.columns if c not in ("most", "k", "ok", *keys)])
+
+
+def around(centers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, hub, n, c, a) of nodes with a center: n-grams inside and outside of it; and (token, k) of those outside.
+
+    Any set may serve as center: n-grams outside the hub that many of its nodes have are taken into it."""
+    nodes = centers.where("rest IS NOT NULL")
+    outside = materialize(nodes.select(F.explode("rest").alias("token"), "hub", "k"))
+    usual = outside.groupBy("token", "hub").agg(F.count(F.lit(1)).alias("v")).where(f"v > {USUAL}").select("token", "hub", F.lit(1).alias("u"))
+    outside = materialize(outside.join(usual, ["token", "hub"], "left"))
+    more = outside.groupBy("k").agg(F.count("u").alias("more"))
+    more = nodes.join(more, "k", "left").select("k", "hub", "n", (F.col("c") + F.coalesce("more", F.lit(0))).alias("c"), (F.size("rest") - F.coalesce("more", F.lit(0))).alias("a"))
+    return materialize(more), outside.where("u IS NULL").select("token", "k")
+
+
+def second_links(nodes: DataFrame, centers: DataFrame) -> DataFrame:
+    """Each node of another label with the node nearest to its center."""
+    best = nodes.groupBy("hub").agg(F.max(F.struct((F.col("c") - F.col("a")).alias("w"), "k")).alias("b")).select("hub", F.col("b.k").alias("y"))
+    label = centers.select(F.col("k").alias("y"), F.col("label").alias("ylabel"))
+    pairs = nodes.join(best, "hub").join(label, "y").join(centers.select("k", "label"), "k")
+    return materialize(pairs.where("k != y AND label != ylabel").select(F.col("k").alias("x"), "y"))
+
+
+def candidates(rows: DataFrame, centers: DataFrame, nodes: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different label that may be links.
+
+    Nodes of different centers meet by their prefixes; overlap counts are accumulated and held against the bound
+    from their sizes. Of two nodes of one center, with ``c`` n-grams of it each, at most ``min(c)`` plus the
+    n-grams that they share outside of the center can overlap: they meet by n-grams outside (all of them are
+    posted), or, where ``min(c)`` alone may do, by the center."""
+    both, sizes = 100 + percent, f"{percent} * (n + on)"
+    rows = rows.drop("label").join(centers.select("k", "label", "hub", "c", "s"), "k")
+    nodes = materialize(nodes.join(centers.select("k", "label"), "k"))
+    outside = outside.join(nodes, "k")
+    met = _met(rows, ["token"], "hub", f"{both} * least(s, os) >= {sizes}")
+    rest = lambda c: f"(({percent} * {c} + 99) div 100 - 1)"  # noqa: E731  n-grams of a node behind its prefix
+    apart = met.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("on").alias("on"), F.count(F.lit(1)).alias("v"))
+    apart = apart.where(f"(v + greatest({rest('n')}, {rest('on')})) * {both} >= {sizes}").select("x", "y")
+    met = _met(outside, ["token", "hub"], "label", f"{both} * (least(c, oc) + least(a, oa)) >= {sizes}")
+    near = met.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("on").alias("on"), F.first("c").alias("c"), F.first("oc").alias("oc"), F.count(F.lit(1)).alias("v"))
+    near = near.where(f"{both} * (least(c, oc) + v) >= {sizes}").select("x", "y")
+    inner = nodes.where(f"100 * c >= {percent} * n").select("hub", "k", "n", "label", "c")
+    inner = _met(inner, ["hub"], "label", f"{both} * least(c, oc) >= {sizes}").select("x", "y")
+    return materialize(apart.unionByName(near).unionByName(inner).distinct())
+
+
+def shared_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """(t, s): for each text, how many of its n-grams another of these documents has. Others count for no overlap."""
+
+    def spots(c):
+        tokens, _, size = sets(c, n)
+        return size, tokens
+
+    def finish(doc, rank):
+        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        return np.diff(np.append(edge, len(doc))).astype(np.uint32), np.arange(len(edge) + 1), doc[edge]
+
+    def sizes(batches):
+        for b in batches:
+            s, _ = unpacked(b.column(1), np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(np.int64))], ["t", "s"])
+
+    return repeated_spots(docs.select("text"), spots, finish).mapInArrow(sizes, "t long, s long")
+
+
+def rivals(own: DataFrame, slim: DataFrame, hot: np.ndarray, n: int, percent: int, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Documents that may have a link to another label: they share a list with one, and enough of their n-grams are
+    shared at all: (doc_id, t, text, label), and (k, n, s) of them."""
+    made = mixed_lists(own, hot, n, percent, n_buckets)
+    lists = made.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("k"), "label")
+    mixed = lists.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("token")
+    nodes = made.where("kind = 2").select(F.col("x").alias("k")).unionByName(lists.join(mixed, "token").select("k")).distinct().join(slim, "k")
+    docs = _pick(own, materialize(nodes.select("doc_id", "t")))
+    enough = materialize(shared_sizes(docs, n).join(slim, "t").where(f"100 * s >= {percent} * n").select("k", "n", "doc_id", "t", "s"))
+    return _pick(own, enough), enough.groupBy("k").agg(F.first("n").alias("n"), F.max("s").alias("s"))
 
 
 def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -362,7 +431,10 @@ def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     sig = signatures(texts, n)
     nodes = materialize(sig.where("n > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("k", "r.doc_id", "r.t", "n", "bands"))
     slim = nodes.drop("bands")
-    edges = verified(materialize(first_links(nodes, percent)), slim, texts, n, percent)
+    near = materialize(first_links(nodes))
+    ends = roots(near)
+    first = compared(materialize(near.unionByName(ends.select("x", F.col("root").alias("y"))).distinct()), slim, texts, n, percent, rest=True)
+    edges = first.where("ok").select("x", "y")
     labels = components(edges)
     # what the product must know of a document: a copy of its node's document is left out; a label other than its own key
     about = sig.where("n > 0").select("doc_id", "t", "k").join(slim.select("k", F.col("doc_id").alias("d0"), F.col("t").alias("t0")), "k").join(labels.withColumnRenamed("node", "k"), "k", "left")
@@ -370,11 +442,18 @@ def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     about = materialize(about.where("copy OR label != k").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "copy", "label").distinct())
     about = F.broadcast(about) if about.count() <= BROADCAST_ROWS else about
     own = texts.join(about, texts["doc_id"].eqNullSafe(about["__d"]) & (texts["t"] == about["__t"]), "left").where("copy IS NULL OR NOT copy").select("doc_id", "t", "text", "label")
-    made = product(own, frequent(own.select("doc_id", "t", "text"), n, percent, n_buckets), n, percent, n_buckets)
-    counted = made.where("kind = 0").drop("kind").unionByName(hot_pairs(made, percent)).groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("c").alias("c"))
-    rest = lambda c: f"(({percent} * {c} + 99) div 100 - 1)"  # noqa: E731  n-grams of a document behind its prefix
-    likely = counted.where(f"(c + greatest({rest('nx')}, {rest('ny')})) * {100 + percent} >= {percent} * (nx + ny)").select("x", "y")
-    more = verified(materialize(likely), slim, texts, n, percent)
+    hot = frequent(own.select("doc_id", "t", "text"), n, percent, n_buckets)
+    docs2, known = rivals(own, slim, hot, n, percent, n_buckets)
+    center = first.join(ends.select("x", F.col("root").alias("y")), ["x", "y"]).where("2 * both >= nx").select(F.col("x").alias("k"), F.col("y").alias("hub"), F.col("both").alias("c"), "rest")
+    center = known.join(center, "k", "left").join(labels.withColumnRenamed("node", "k"), "k", "left")
+    center = materialize(center.select("k", "n", "s", F.coalesce("label", "k").alias("label"), F.coalesce("hub", "k").alias("hub"), F.coalesce("c", "n").alias("c"), "rest"))
+    inner, outside = around(center)
+    again = compared(second_links(inner, center), slim, texts, n, percent).where("ok").select("x", "y")
+    edges = materialize(edges.unionByName(again))
+    labels = components(edges)
+    center = materialize(center.drop("label").join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k")))
+    likely = candidates(prefix_rows(docs2, hot, n, percent), center, inner, outside, percent)
+    more = compared(likely, slim, texts, n, percent).where("ok").select("x", "y")
     every = edges.unionByName(more)
     labels = components(every) if more.limit(1).count() else labels
     linked = slim.select("k", "doc_id").join(labels.withColumnRenamed("node", "k"), "k", "left").select("k", "doc_id", F.coalesce("label", "k").alias("label"))

@@ -36,8 +36,9 @@ _NAMES = ["bucket", "src", "kind", "hashes", "places"]
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """A power of two that follows the size of the input (an estimate: it decides sizes only, never results)."""
-    size = min(int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 60)
+    """A power of two that follows the size of the tables read (an estimate: it decides sizes only, never results)."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(min(int(leaves.apply(i).stats().sizeInBytes()), 1 << 50) for i in range(leaves.size()))
     n = 1024
     while n < MAX_BUCKETS and n * BUCKET_WINDOWS < 0.3 * size:
         n *= 2
