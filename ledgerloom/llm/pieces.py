@@ -37,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 ALPHA = 0.5
 MARK = "▁"
 #: Cached units of a worker; bytes of text taken at once.
-CACHE, STRETCH = 200_000, 4 << 20
+CACHE, STRETCH = 120_000, 1 << 20
 
 
 def default_model() -> str:
@@ -99,7 +99,7 @@ class Lattice:
 
     def reset(self) -> None:
         self.known, self.base = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.first, self.cum, self.prev, self.own = np.zeros(1, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.first, self.cum, self.prev, self.own = np.zeros(1, np.int32), np.empty(0, np.float32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _matches(self, buf: np.ndarray, unit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ids of the pieces of one length that lie within a unit."""
@@ -183,15 +183,17 @@ class Lattice:
         live = whole > 0
         o = np.flatnonzero(live)[np.lexsort((-whole[live], dst[live]))]
         p, dst, src, k = whole[o], dst[o], src[o], k[o]
-        c = np.cumsum(p)
         nodes = len(forward)
         first = np.searchsorted(dst, np.arange(nodes + 1))
-        begin = np.repeat(first[:-1], np.diff(first))
-        cum = c - np.where(begin > 0, c[begin - 1], 0.0)
+        at = first[:-1][np.diff(first) > 1] + 1  # sums within a node, one edge after the other: the same in any company
+        last = first[1:][np.diff(first) > 1]
+        while len(at):
+            p[at] += p[at - 1]
+            at, last = at[at + 1 < last] + 1, last[at + 1 < last]
         shift, edges = len(self.first) - 1, len(self.cum)
-        self.first = np.concatenate((self.first, first[1:] + edges))
-        self.cum, self.own = np.concatenate((self.cum, cum)), np.concatenate((self.own, k))
-        self.prev = np.concatenate((self.prev, src + shift))
+        self.first = np.concatenate((self.first, (first[1:] + edges).astype(np.int32)))
+        self.cum, self.own = np.concatenate((self.cum, p.astype(np.float32))), np.concatenate((self.own, k.astype(np.int32)))
+        self.prev = np.concatenate((self.prev, (src + shift).astype(np.int32)))
         known, base = np.concatenate((self.known, keys)), np.concatenate((self.base, node_at + shift))
         o = np.argsort(known)
         self.known, self.base = known[o], base[o]
@@ -227,7 +229,7 @@ class Lattice:
         base = self.base[np.searchsorted(self.known, keys)][inv]
         doc = np.searchsorted(offs, starts, side="right") - 1
         stream = mix(seeds[doc] ^ mix((starts - offs[doc]).astype(np.uint64) + U(1)))
-        node, live = base + (ends - starts), np.arange(len(starts))
+        node, live = base + (ends - starts), np.arange(len(starts), dtype=np.int32)
         steps, counts = [], np.zeros(len(starts), np.int64)
         step = 0
         while len(live):
