@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# Workers are reused by later stages: freed batches go back to the system instead of staying in the pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
 CHUNK = 1 << 20
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1

@@ -50,7 +50,7 @@ HOT, MAX_HOT = 64, 1 << 18
 #: An n-gram that more nodes of one center have, and the center lacks, is taken into the center.
 USUAL = 32
 #: Postings that a task holds before it sends them on.
-HOLD = 1_000_000
+HOLD = 400_000
 SALT = U(0x632BE59BD9B4E019)
 
 

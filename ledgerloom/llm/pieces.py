@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -283,6 +284,16 @@ def encoded(own: Lattice, keys: pa.Array, texts: pa.Array):
         yield (lo, len(texts), raw, *own.encode(raw, stream[lo:]))
 
 
+@contextmanager
+def task(model: str, alpha: float):
+    """The worker's lattice for one task; its cached units are let go at the end, as the worker lives on."""
+    own = lattice(model, alpha)
+    try:
+        yield own
+    finally:
+        own.reset()
+
+
 def encode(docs: DataFrame, key: str = "doc_id", model: str | None = None, alpha: float = ALPHA) -> DataFrame:
     """Adds ``pieces`` (ids) and ``n_pieces`` to every row. ``model``: path of a model that all executors have."""
     docs = docs.drop("pieces", "n_pieces")
@@ -292,7 +303,10 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str | None = None, alpha
     full = docs.withColumn("__key", F.col(key).cast("long"))
 
     def run(batches):
-        own = lattice(model, alpha)
+        with task(model, alpha) as own:
+            yield from encode_all(own, batches)
+
+    def encode_all(own, batches):
         for b in batches:
             valid = np.asarray(b.column(at).is_valid())
             for lo, hi, _, ids, bounds in encoded(own, b.column(b.num_columns - 1), b.column(at)):
@@ -327,7 +341,10 @@ def digest(docs: DataFrame, model: str | None = None, alpha: float = ALPHA) -> D
     model = model or default_model()
 
     def run(batches):
-        own = lattice(model, alpha)
+        with task(model, alpha) as own:
+            yield from digest_all(own, batches)
+
+    def digest_all(own, batches):
         for b in batches:
             keys = b.column(0)
             for lo, hi, raw, ids, bounds in encoded(own, keys, b.column(1)):
