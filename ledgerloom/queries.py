@@ -394,18 +394,20 @@ def json_number_fields(spark, sf_dir):
     return e.select("event_id", J.first_number("r", "k").cast("double").alias("k"))
 
 
-# ---- linkage
+# ---- linkage: whole tables; the four with SQL take ``part``, by default the orders that their fixed SQL names
+
+SQL_PART = 40
 
 
 @query("gst_period_filter", """
 SELECT 'b-' || k AS books_record_id FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 40 = 0) o
 WHERE k % 11 != 7 AND day BETWEEN (SELECT min(CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 0 END AS INTEGER)) FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 11 != 5) AND (SELECT max(CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 0 END AS INTEGER)) FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 11 != 5)""")
-def gst_period_filter(spark, sf_dir):
-    return tax_matching.within_period(bridge.books_lines(spark, sf_dir), bridge.gstr_lines(spark, sf_dir)).select("books_record_id")
+def gst_period_filter(spark, sf_dir, part=SQL_PART):
+    return tax_matching.within_period(bridge.books_lines(spark, sf_dir, part), bridge.gstr_lines(spark, sf_dir, part)).select("books_record_id")
 
 
-def _ladder(spark, sf_dir, level):
-    pairs = tax_matching.ladder(tax_matching.prepare_lines(bridge.gstr_lines(spark, sf_dir)), tax_matching.prepare_books(bridge.books_lines(spark, sf_dir)))
+def _ladder(spark, sf_dir, level, part):
+    pairs = tax_matching.ladder(tax_matching.prepare_lines(bridge.gstr_lines(spark, sf_dir, part)), tax_matching.prepare_books(bridge.books_lines(spark, sf_dir, part)))
     return pairs.where(F.col("level") == level).select(F.col("g_id").alias("gstr_line_id"), F.col("b_id").alias("books_record_id"), "match_status", "match_confidence")
 
 
@@ -414,13 +416,13 @@ _P1_PAIR = f"FROM ({_SIDE}) g WHERE k % 11 NOT IN (5, 7) AND k % 5 NOT IN (1, 2)
 
 
 @query("gst_p1_candidates", f"SELECT 'g-' || k AS gstr_line_id, 'b-' || k AS books_record_id, CASE WHEN k % 7 = 3 THEN 'amount_mismatch' ELSE 'matched' END AS match_status, CASE WHEN k % 7 = 3 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS match_confidence {_P1_PAIR}")
-def gst_p1_candidates(spark, sf_dir):
-    return _ladder(spark, sf_dir, "P1_EXACT")
+def gst_p1_candidates(spark, sf_dir, part=SQL_PART):
+    return _ladder(spark, sf_dir, "P1_EXACT", part)
 
 
 @query("gst_p3_format_candidates", f"SELECT 'g-' || k AS gstr_line_id, 'b-' || k AS books_record_id, CASE WHEN k % 7 = 3 THEN 'amount_mismatch' ELSE 'matched' END AS match_status, CASE WHEN k % 7 = 3 THEN 0.78::DOUBLE ELSE 0.88::DOUBLE END AS match_confidence {_P1_PAIR}")
-def gst_p3_format_candidates(spark, sf_dir):
-    return _ladder(spark, sf_dir, "P3_FORMAT")
+def gst_p3_format_candidates(spark, sf_dir, part=SQL_PART):
+    return _ladder(spark, sf_dir, "P3_FORMAT", part)
 
 
 @query("gst_reconciliation")
@@ -447,8 +449,8 @@ SELECT 'bank-' || bk AS bank_line_id, 'acct-' || ak AS accounting_record_id, CAS
 
 
 @query("bank_score_no_ratio", _BANK_PAIRS)
-def bank_score_no_ratio(spark, sf_dir):
-    bank, books = bank_matching.prepare_bank(bridge.bank_lines(spark, sf_dir)), bank_matching.prepare_books(bridge.accounting_lines(spark, sf_dir))
+def bank_score_no_ratio(spark, sf_dir, part=SQL_PART):
+    bank, books = bank_matching.prepare_bank(bridge.bank_lines(spark, sf_dir, part)), bank_matching.prepare_books(bridge.accounting_lines(spark, sf_dir, part))
     pairs = bank_matching.scored(bank, books, similarity=lambda a, b: F.lit(0.0))
     score = F.round(F.col("amount_score") * 0.45 + F.col("date_score") * 0.25, 3)
     return pairs.select("bank_line_id", "accounting_record_id", "day_gap", score.alias("score"))
