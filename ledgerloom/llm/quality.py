@@ -7,9 +7,10 @@ either distance exceeds its limit, and each test applies only from a minimum len
 a short text from any reference is mostly noise. Base rules: fewer than ``MIN_WORDS`` words, or more than
 half of the words in repeated 3-word windows.
 
-Null and empty texts: all counts 0, ``base_failed``. A null ``lang``, or one with fewer than ``MIN_REFERENCE``
-words in the corpus, is compared with the reference of all documents together. Repeated rows get equal
-results; an empty table gives an empty result; other columns pass through ``rate`` (names of its results are
+Null and empty texts: all counts 0, ``base_failed``. A language has its own reference however few its words are;
+the word limit rises by the sampling noise of the reference as it does by the document's. A null or empty ``lang``
+is compared with the reference of all documents together; a language without a reference is not tested for
+divergence. Repeated rows get equal results; an empty table gives an empty result; other columns pass through ``rate`` (names of its results are
 replaced).
 """
 
@@ -25,11 +26,12 @@ from pyspark.sql import types as T
 from .kernels import SEP, U, chunks, inside, mix, window_hashes
 from .store import materialize
 
-MIN_WORDS, K, MIN_REFERENCE = 50, 64, 20_000
+MIN_WORDS, K = 50, 64
 #: A common word is short: longer words are counted in the bin of other words.
 MAX_COMMON_BYTES = 8
 #: Limits of the distances, and the least words from which each test applies. The distance of n sampled words from
-#: their own source falls as 1 / sqrt(n), so the limit of the word test is WORD_LIMIT + WORD_NOISE / sqrt(n).
+#: their own source falls as 1 / sqrt(n), so the limit of the word test is WORD_LIMIT + WORD_NOISE * sqrt(1 / n + 1 / r), where
+#: r is the number of words in the reference.
 CHAR_LIMIT, CHAR_WORDS, WORD_LIMIT, WORD_NOISE, WORD_WORDS = 0.34, 50, 0.29, 1.2, 50
 #: Languages with a reference of their own, by words; a bound on what is sent to every task.
 MAX_LANGUAGES = 1000
@@ -65,7 +67,7 @@ def class_counts(chunk) -> np.ndarray:
 
 
 def references(docs: DataFrame, k: int = K) -> tuple[dict, dict]:
-    """{lang: class histogram} and {lang: (sorted word hashes, histogram with the other words last)}; '' is all documents."""
+    """{lang: class histogram} and {lang: (sorted word hashes, histogram with the other words last, words)}; '' is all documents."""
 
     def count(batches):
         def flush(words, classes):
@@ -102,7 +104,7 @@ def references(docs: DataFrame, k: int = K) -> tuple[dict, dict]:
 
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, kind int, key long, n long")
     sums = materialize(rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    totals = sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_REFERENCE).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    totals = sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     langs = {r["lang"]: r["n"] for r in totals.collect() if r["lang"] != ""}
     spread = sums.unionByName(sums.where("lang != ''").withColumn("lang", F.lit(""))).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     spread = spread.where(F.col("lang").isin("", *langs))
@@ -118,7 +120,7 @@ def references(docs: DataFrame, k: int = K) -> tuple[dict, dict]:
         keys = np.array([x["key"] for x in r["v"]], np.int64).view(np.uint64)
         n = np.array([x["n"] for x in r["v"]], float)
         order = np.argsort(keys)
-        words[r["lang"]] = (keys[order], np.append(n[order], whole[r["lang"]] - n.sum()) / whole[r["lang"]])
+        words[r["lang"]] = (keys[order], np.append(n[order], whole[r["lang"]] - n.sum()) / whole[r["lang"]], whole[r["lang"]])
     return chars, words
 
 
@@ -169,7 +171,7 @@ def rate(docs: DataFrame, keep: list[str] | None = None, char_limit: float = CHA
     def run(batches):
         chars_, words_ = refs.value
         for b in batches:
-            langs = [x if x in words_ else "" for x in b.column(b.num_columns - 2).to_pylist()]
+            langs = [x or "" for x in b.column(b.num_columns - 2).to_pylist()]
             texts = b.column(b.num_columns - 1)
             out = {name: [] for name, _ in RESULT}
             for c in chunks(texts):
@@ -177,13 +179,13 @@ def rate(docs: DataFrame, keep: list[str] | None = None, char_limit: float = CHA
                 repeat = _repeat_words(c, h)
                 per = class_counts(c)
                 own = np.array(langs[c.lo : c.hi], object)
-                cd, wd = np.full(len(n), np.nan), np.full(len(n), np.nan)
+                cd, wd, of_ref = np.full(len(n), np.nan), np.full(len(n), np.nan), np.ones(len(n))
                 doc, short = c.doc_of_word(), (c.ends - c.starts) <= MAX_COMMON_BYTES
                 for lang in set(own.tolist()):
-                    if lang not in words_:  # no word at all in the corpus
+                    if lang not in words_:  # no reference
                         continue
                     pick = np.flatnonzero(own == lang)
-                    keys, ref = words_[lang]
+                    keys, ref, of_ref[pick] = words_[lang]
                     of = np.isin(doc, pick)
                     i = np.searchsorted(keys, h[of])
                     i[i == len(keys)] = 0
@@ -203,7 +205,7 @@ def rate(docs: DataFrame, keep: list[str] | None = None, char_limit: float = CHA
                 out["base_failed"].append(failed)
                 out["char_distance"].append(cd)
                 out["word_distance"].append(wd)
-                out["kept"].append(~failed & ~(cd > char_limit) & ~(wd > word_limit + WORD_NOISE / np.sqrt(np.maximum(1, n))))
+                out["kept"].append(~failed & ~(cd > char_limit) & ~(wd > word_limit + WORD_NOISE * np.sqrt(1 / np.maximum(1, n) + 1 / of_ref)))
             cols = []
             for name, kind in RESULT:
                 v = np.concatenate(out[name]) if out[name] else np.empty(0)
