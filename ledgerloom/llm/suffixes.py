@@ -9,7 +9,10 @@ way: a longer passage is covered by the matches of its further minimisers. Match
 more are repeats. The last suffix of a range and the first of the next are compared in a step of their own.
 
 Only neighbours are compared (``NEAR`` on each side), so a group of copies costs time in proportion to its
-size. Equal texts have equal spans; they are joined by a hash of the text.
+size. A long match on the left may then stand between others that are longer on the right only. What neighbours
+miss is settled exactly: texts that share a ``LONG``-word minimiser (each passage of ``MIN_WORDS`` words has
+one) have all their windows of ``MIN_WORDS`` words counted, and repeated windows join the spans. Equal texts have
+equal spans; they are joined by a hash of the text.
 
 Null and empty texts, and texts below ``MIN_WORDS`` words: no repeats. Repeated rows are repeats of each
 other. Empty tables give empty results; all columns pass through ``mark`` (``n_words n_repeated repeats``
@@ -26,9 +29,10 @@ from pyspark.sql import types as T
 
 from .kernels import chunks, inside, mix, packed, unpacked, window_hashes
 from .store import materialize
-from .substrings import repeated_spots, with_spans
+from .substrings import intervals, repeated_spots, with_spans
 
 MIN_WORDS, K, SPREAD, REACH, NEAR = 50, 8, 32, 50, 2
+LONG = MIN_WORDS // 2
 
 
 def minimisers(c, k: int = K, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +158,38 @@ def _compare(tables, part: int):
         yield border(tail, NEAR)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(text_key, intervals): for each text with repeats, packed uint32 pairs [first word, end word)."""
+def _places(docs: DataFrame, k: int, spread: int) -> DataFrame:
+    """(text_key, intervals): the ranks of the minimisers of a text that occur elsewhere, too."""
 
     def finish(doc, rank):
         edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         return rank.astype(np.uint32), np.append(edge, len(doc)), doc[edge]
 
     def spots(c):
-        at, h = minimisers(c)
+        at, h = minimisers(c, k, spread)
         return np.diff(np.searchsorted(at, c.first)), h
 
-    places = repeated_spots(docs, spots, finish)
+    return repeated_spots(docs, spots, finish)
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """(text_key, start, end) of all repeated windows of ``MIN_WORDS`` words, merged where they meet."""
+    long = _places(docs, LONG, MIN_WORDS - LONG + 1)
+    some = with_spans(docs.select(F.col("text").cast("string").alias("text")), long).where("__spans IS NOT NULL").drop("__spans")
+
+    def rows(batches):
+        for b in batches:
+            values, bounds = unpacked(b.column(1), np.uint32)
+            pairs = values.reshape(-1, 2).astype(np.int32)
+            keys = np.repeat(np.asarray(b.column(0)), np.diff(bounds) // 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["text_key", "start", "end"])
+
+    return intervals(some, MIN_WORDS).mapInArrow(rows, "text_key long, start int, end int")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(text_key, intervals): for each text with repeats, packed uint32 pairs [first word, end word)."""
+    places = _places(docs, K, SPREAD)
     kept = suffixes(docs, places)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = kept.repartitionByRange(n, "anchor", "ahead", "text_key", "at").sortWithinPartitions("anchor", "ahead", "text_key", "at")
@@ -178,7 +202,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = materialize(ordered.mapInArrow(compare, _FOUND))
     borders = found.where("kind = 1").coalesce(1).sortWithinPartitions("anchor", "ahead", "text_key", "at", "part", "start").select(*_NAMES)
     across = borders.mapInArrow(lambda batches: _compare(batches, 0), _FOUND).where("kind = 0")
-    spans = found.where("kind = 0").unionByName(across).select("text_key", "start", "end").distinct().groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    spans = found.where("kind = 0").unionByName(across).select("text_key", "start", "end").unionByName(settled(docs)).distinct().groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
 
     def merged(batches):
         for b in batches:

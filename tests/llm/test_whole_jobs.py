@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import random
 
-from ledgerloom.llm import quality
+from ledgerloom.llm import quality, suffixes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -11,6 +12,30 @@ def drawn(vocab, n, rng):
     return " ".join(rng.choice(vocab) for _ in range(n))
 
 
+# ---- 7
+
+
+def test_passages_with_a_shared_tail(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    some = lambda n: drawn(vocab, n, rng)
+    rows = []
+    for i in range(20):
+        tail = some(30)
+        passage = some(20) + " " + tail
+        rows += [some(40) + " " + passage + " " + some(40) for _ in range(2)]
+        rows += [some(30) + " " + tail + " " + some(30) for _ in range(40)]
+    rng.shuffle(rows)
+    seen = collections.Counter(tuple(w[j : j + 50]) for t in rows for w in [t.split()] for j in range(len(w) - 49))
+    want = {}
+    for i, t in enumerate(rows):
+        w = t.split()
+        want[i] = len({k for j in range(len(w) - 49) if seen[tuple(w[j : j + 50])] > 1 for k in range(j, j + 50)})
+    assert sum(n > 0 for n in want.values()) == 40
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOC)
+    assert {r["doc_id"]: r["n_repeated"] for r in suffixes.mark(df).collect()} == want
+
+
 # ---- 9
 
 
