@@ -3,7 +3,8 @@
 The builder opens and closes elements as browsers do where authors leave tags out (``p``, ``li``, ``dt dd``,
 ``option``, table parts, stray end tags, nested formatting). The renderer walks the tree with an explicit stack,
 so depth costs no recursion. It leaves out what is not shown (``head``, ``script``, ``style``, ``template``,
-``hidden``, ``display:none``, ``visibility:hidden``, comments and the like), collapses white space outside
+``hidden``, ``display:none``, comments and the like; ``visibility:hidden`` is inherited until a descendant resets
+it), shows formulas, the text of ``svg``, all options of a ``select`` and the values of inputs that show them, collapses white space outside
 ``pre``, puts each block on its own lines with a blank line around paragraph-like blocks, marks list items by
 bullets or running numbers with indent, and sets table cells in columns of equal width.
 
@@ -25,7 +26,11 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title plaintext".split())
-UNSEEN = frozenset("head script style template title noembed noframes iframe object svg math canvas audio video datalist select".split())
+UNSEEN = frozenset("head script style template title noembed noframes iframe object canvas audio video datalist annotation annotation-xml".split())
+#: In ``svg`` only text elements and foreign objects show text, and not within definitions.
+SVG_TEXT, SVG_UNSEEN = frozenset("text foreignobject".split()), frozenset("defs symbol metadata desc clippath mask marker pattern".split())
+#: Inputs whose value isn't on the page.
+VALUELESS = frozenset("hidden checkbox radio file image range color password".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
@@ -48,15 +53,19 @@ IMPLIED = {
 }
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>\0]*)|[!?/])")
 _ATTR = re.compile(r"[\s/]*+(?:>|([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?)")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
+#: States that a child inherits.
+PRE, UNSHOWN, SVG, LABEL = 1, 2, 4, 8
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "resets")
 
     def __init__(self, tag: str, attrs: dict | None = None):
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
+        self.resets = False  # whether a descendant says that it is visible
 
 
 def build(source: str) -> Node:
@@ -93,6 +102,11 @@ def build(source: str) -> Node:
         stack.append(x)
         opened[x.tag] = opened.get(x.tag, 0) + 1
 
+    def foreign() -> bool:
+        if not opened.get("svg") and not opened.get("math"):
+            return False
+        return next((x.tag for x in reversed(stack) if x.tag in ("svg", "math", "foreignobject")), "") in ("svg", "math")
+
     while at < n:
         m = _TAG.search(source, at)
         if not m:
@@ -108,7 +122,7 @@ def build(source: str) -> Node:
                 end = source.find(">", m.end())
                 at = n if end < 0 else end + 1
             continue
-        name, attrs, at = name.lower(), {}, m.end()
+        name, attrs, at, empty = name.lower(), {}, m.end(), False
         while True:
             a = _ATTR.match(source, at)
             if not a:
@@ -118,6 +132,7 @@ def build(source: str) -> Node:
                 continue
             at = a.end()
             if a[1] is None:
+                empty = a[0].endswith("/>")
                 break
             if not m[1]:
                 value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""
@@ -155,6 +170,14 @@ def build(source: str) -> Node:
         if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr"))
         node = Node(name, attrs)
+        if "style" in attrs and visibility(node) is True:
+            for x in reversed(stack):
+                if x.resets:
+                    break
+                x.resets = True
+        if empty and (name in ("svg", "math") or foreign()):
+            stack[-1].kids.append(node)
+            continue
         if name not in RAW and name not in VOID:
             push(node)
             continue
@@ -170,11 +193,17 @@ def build(source: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input"):
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").strip().lower() == "hidden"):
         return False
     return not ("style" in a and _HIDING.search(a["style"]))
 
 
+def visibility(node: Node) -> bool | None:
+    """What the element's style says; None: as its parent."""
+    said = _VISIBILITY.findall(node.attrs.get("style", ""))
+    return said[-1].lower() in ("visible", "initial") if said else None
+
+
 def title(root: Node) -> str | None:
     todo = [root]
     while todo:
@@ -239,7 +268,7 @@ def render(root: Node) -> str:
     """All visible text."""
     flow = _Flow()
     # (what, payload): "node" to open, or a closing action
-    stack: list[tuple] = [("node", root, False)]
+    stack: list[tuple] = [("node", root, 0)]
     flows: list[_Flow] = []
     lists: list[list] = []
     tables: list[list] = []
@@ -247,11 +276,28 @@ def render(root: Node) -> str:
         what, x, pre = stack.pop()
         if what == "node":
             if isinstance(x, str):
-                flow.put(x, pre)
+                if not pre & UNSHOWN and (not pre & SVG or pre & LABEL):
+                    flow.put(x, bool(pre & PRE))
                 continue
-            if not visible(x):
+            if not visible(x) or (pre & SVG and x.tag in SVG_UNSEEN):
                 continue
             tag = x.tag
+            if (said := visibility(x)) is not None:
+                pre = pre & ~UNSHOWN if said else pre | UNSHOWN
+            if pre & UNSHOWN and not x.resets:
+                continue
+            if tag == "svg":
+                pre = pre & ~LABEL | SVG
+            elif pre & SVG and tag in SVG_TEXT:
+                flow.put(" ", False)
+                pre = pre & ~SVG if tag == "foreignobject" else pre | LABEL
+            if tag == "input":
+                kind = x.attrs.get("type", "").strip().lower()
+                value = x.attrs.get("alt" if kind == "image" else "value", "")
+                if value.strip() and (kind == "image" or kind not in VALUELESS):
+                    flow.put(f" {value} ", False)
+                continue
+            label = x.attrs.get("label", "").strip() if tag in ("option", "optgroup") else ""
             if tag == "br":
                 flow.end(keep=True)
                 continue
@@ -264,7 +310,7 @@ def render(root: Node) -> str:
                 continue
             if tag == "wbr":
                 continue
-            inner = pre or tag in ("pre", "textarea", "plaintext", "xmp")
+            inner = pre | PRE if tag in ("pre", "textarea", "plaintext", "xmp") else pre
             if tag == "table":
                 flow.space()
                 tables.append([])
@@ -291,7 +337,7 @@ def render(root: Node) -> str:
                 value = x.attrs.get("value", "")
                 if own[0] and re.fullmatch(r"-?[0-9]{1,9}", value):
                     own[1] = int(value)
-                mark = f"{own[1]}. " if own[0] else "- "
+                mark = "" if pre & UNSHOWN else f"{own[1]}. " if own[0] else "- "
                 own[1] += 1
                 stack.append(("item", (flow.indent, flow.first), pre))
                 flow.first, flow.indent = flow.indent + mark, flow.indent + " " * len(mark)
@@ -305,9 +351,16 @@ def render(root: Node) -> str:
             elif tag in BLOCK:
                 flow.end()
                 stack.append(("block", x, pre))
-            elif tag == "q":
+                if label and not pre & UNSHOWN:
+                    flow.put(label, False)
+                    if tag == "option":  # shown instead of its text
+                        continue
+                    flow.end()
+            elif tag == "q" and not pre & UNSHOWN:
                 flow.put("“", True)
                 stack.append(("quote", x, pre))
+            elif tag == "select" or (tag == "svg" and x.kids):
+                flow.put(" ", False)
             stack += [("node", k, inner) for k in reversed(x.kids)]
         elif what == "list":
             flow.end()

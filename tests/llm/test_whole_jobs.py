@@ -3,7 +3,7 @@
 import collections
 import random
 
-from ledgerloom.llm import quality, suffixes
+from ledgerloom.llm import html_text, quality, suffixes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,6 +12,20 @@ def drawn(vocab, n, rng):
     return " ".join(rng.choice(vocab) for _ in range(n))
 
 
+# ---- 6
+
+
+def test_all_shown_text_is_rendered():
+    t = lambda x: html_text.text_of(x)[0]
+    assert t("x <math><mi>a</mi><mo>+</mo><mspace/><mn>2</mn><annotation>no</annotation></math> y") == "x a+2 y"
+    assert t("<svg><title>no</title><defs/>no<path d='M0'/><text>one</text><text>two <tspan>2</tspan></text><defs><text>no</text></defs></svg>end").split() == ["one", "two", "2end"]
+    assert t("pick <select><option>red<option label=blue>b<optgroup label=more><option>green</select> now").split() == ["pick", "red", "blue", "more", "green", "now"]
+    assert t("<input value=Ann><input type=submit value='Send it'><input type=hidden value=no><input type=checkbox value=no><input type=password value=no>").split() == ["Ann", "Send", "it"]
+    assert t("<div style='visibility:hidden'>no<p>no<b style='visibility: visible'>yes</b></p></div>") == "yes"
+    assert t("<div style='display:none'>no<b style='visibility:visible'>no</b></div>a<p style='visibility:hidden'>no</p>") == "a"
+    assert t("<ul style='visibility:collapse'><li>no<li><i style='visibility:visible'>yes</i></ul>") == "yes"
+
+
 # ---- 7
 
 
