@@ -1,7 +1,7 @@
 """Quality rules: distribution divergence against language references, with minimum-length guards.
 
 Two histograms of a document are compared with the reference of its language by Jensen-Shannon distance
-(base 2, so between 0 and 1): character classes, and the ``K`` most common short words of the language plus
+(base 2, so between 0 and 1): character classes, and the ``K`` most common words of the language plus
 one bin for all other words. The references are counted over all documents. A document is rejected if
 either distance exceeds its limit, and each test applies only from a minimum length on, since the distance of
 a short text from any reference is mostly noise. Base rules: fewer than ``MIN_WORDS`` words, or more than
@@ -27,14 +27,10 @@ from .kernels import SEP, U, chunks, inside, mix, window_hashes
 from .store import materialize
 
 MIN_WORDS, K = 50, 64
-#: A common word is short: longer words are counted in the bin of other words.
-MAX_COMMON_BYTES = 8
 #: Limits of the distances, and the least words from which each test applies. The distance of n sampled words from
 #: their own source falls as 1 / sqrt(n), so the limit of the word test is WORD_LIMIT + WORD_NOISE * sqrt(1 / n + 1 / r), where
 #: r is the number of words in the reference.
 CHAR_LIMIT, CHAR_WORDS, WORD_LIMIT, WORD_NOISE, WORD_WORDS = 0.34, 50, 0.29, 1.2, 50
-#: Languages with a reference of their own, by words; a bound on what is sent to every task.
-MAX_LANGUAGES = 1000
 
 _SYMBOLS = b"#*$%&|<>"
 _CLASSES = 8
@@ -83,20 +79,18 @@ def references(docs: DataFrame, k: int = K) -> tuple[dict, dict]:
         for b in batches:
             langs = np.array([x if x is not None else "" for x in b.column(0).to_pylist()], object)
             for c in chunks(b.column(1)):
-                h, per, length = c.hashes(), class_counts(c), c.ends - c.starts
+                h, per = c.hashes(), class_counts(c)
                 own = langs[c.lo : c.hi]
                 counts = c.counts()
                 for lang in set(own.tolist()):
                     pick = own == lang
                     classes[lang] = classes.get(lang, 0) + per[pick].sum(0)
                     of = np.repeat(pick, counts)
-                    short = of & (length <= MAX_COMMON_BYTES)
-                    hs, n = np.unique(h[short], return_counts=True)
+                    hs, n = np.unique(h[of], return_counts=True)
                     slot = words.setdefault(lang, ([], []))
-                    rest = int(of.sum()) - int(short.sum())
-                    slot[0].append(np.append(hs, U(0)))  # 0 stands for all longer words
-                    slot[1].append(np.append(n, rest))
-                    held += len(hs) + 1
+                    slot[0].append(hs)
+                    slot[1].append(n)
+                    held += len(hs)
                 if held > 2_000_000:  # a bound on memory: what is held is added up in Spark
                     yield from flush(words, classes)
                     words, classes, held = {}, {}, 0
@@ -104,11 +98,8 @@ def references(docs: DataFrame, k: int = K) -> tuple[dict, dict]:
 
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, kind int, key long, n long")
     sums = materialize(rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    totals = sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    langs = {r["lang"]: r["n"] for r in totals.collect() if r["lang"] != ""}
     spread = sums.unionByName(sums.where("lang != ''").withColumn("lang", F.lit(""))).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    spread = spread.where(F.col("lang").isin("", *langs))
-    top = spread.where("kind = 1 AND key != 0").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= k)
+    top = spread.where("kind = 1").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= k)
     chars, words = {}, {}
     for r in spread.where("kind = 0").groupBy("lang").agg(F.collect_list(F.struct("key", "n")).alias("v")).collect():
         v = np.zeros(_CLASSES)
@@ -180,7 +171,7 @@ def rate(docs: DataFrame, keep: list[str] | None = None, char_limit: float = CHA
                 per = class_counts(c)
                 own = np.array(langs[c.lo : c.hi], object)
                 cd, wd, of_ref = np.full(len(n), np.nan), np.full(len(n), np.nan), np.ones(len(n))
-                doc, short = c.doc_of_word(), (c.ends - c.starts) <= MAX_COMMON_BYTES
+                doc = c.doc_of_word()
                 for lang in set(own.tolist()):
                     if lang not in words_:  # no reference
                         continue
@@ -189,7 +180,7 @@ def rate(docs: DataFrame, keep: list[str] | None = None, char_limit: float = CHA
                     of = np.isin(doc, pick)
                     i = np.searchsorted(keys, h[of])
                     i[i == len(keys)] = 0
-                    bin_ = np.where((keys[i] == h[of]) & short[of], i, len(keys))
+                    bin_ = np.where(keys[i] == h[of], i, len(keys))
                     hist = np.bincount(doc[of] * (len(keys) + 1) + bin_, minlength=len(n) * (len(keys) + 1)).reshape(len(n), -1)[pick]
                     wd[pick] = distance(hist / np.maximum(1, hist.sum(1, keepdims=True)), ref)
                     p = per[pick]

@@ -61,3 +61,13 @@ def test_small_language_has_its_own_reference(spark):
     rows += [(2000, drawn(large, 150, rng), "xx", "s", 1)]
     kept = {r["doc_id"]: r["kept"] for r in quality.rate(spark.createDataFrame(rows, DOC)).collect()}
     assert all(kept[i] for i, *_ in rows if i != 2000) and not kept[2000]
+
+
+def test_long_words_and_many_languages_have_references(spark):
+    rng = random.Random(6)
+    one, other = (["слово" + x * 3 for x in letters] for letters in ("абвгдежзик", "лмнопрстуф"))
+    rows = [(i, drawn(one, 200, rng), "ru", "s", 1) for i in range(40)] + [(100, drawn(other, 200, rng), "ru", "s", 1)]
+    rows += [(1000 + i, drawn([f"l{i}x{j}" for j in range(20)], 60, rng), f"l{i}", "s", 1) for i in range(1100)]
+    out = {r["doc_id"]: r for r in quality.rate(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(out[i]["word_distance"] < 0.3 for i in range(40)) and out[100]["word_distance"] > 0.8
+    assert all(out[1000 + i]["word_distance"] < 0.01 for i in range(1100))
