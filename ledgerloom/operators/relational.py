@@ -21,9 +21,10 @@ def latest(df: DataFrame, extra_keys: list | None = None) -> DataFrame:
 
 
 def drop_legacy(df: DataFrame) -> DataFrame:
-    """Rows without an organisation go when the same record exists with one (a semi-join as a window)."""
-    scoped = F.max(F.col("source_org_id").isNotNull()).over(W.partitionBy("source_record_id"))
-    return df.withColumn("__scoped", scoped).where(F.col("source_org_id").isNotNull() | F.col("source_record_id").isNull() | ~F.col("__scoped")).drop("__scoped")
+    """Rows without an organisation go when the same record exists with one; records without an id are never gathered."""
+    scoped = df.where("source_org_id IS NOT NULL AND source_record_id IS NOT NULL").select(F.col("source_record_id").alias("__id")).distinct()
+    legacy = df.where("source_org_id IS NULL")
+    return df.where("source_org_id IS NOT NULL").unionByName(legacy.join(scoped, legacy["source_record_id"] == scoped["__id"], "left_anti"))
 
 
 def scd2(df: DataFrame, change: Column) -> DataFrame:

@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.relational import as_of
 from ledgerloom.plans import silver
 
-# fixed values: spellings of the balance sheet's lines
-ALIASES = {
-    "bank_cash": ["bank_cash", "cash", "bank", "cash_and_bank", "bank_balance"],
-    "receivables": ["receivables", "accounts_receivable", "trade_receivables", "debtors"],
-    "other_assets": ["other_assets", "other_current_assets", "fixed_assets"],
-    "payables": ["payables", "accounts_payable", "trade_payables", "creditors"],
-    "tax_liabilities": ["tax_liabilities", "gst_payable", "tds_payable", "taxes"],
-    "equity_retained_earnings": ["equity_retained_earnings", "equity", "retained_earnings", "share_capital"],
+# fixed values: spellings of the balance sheet's lines in long sheets (letters only), and columns of wide ones
+LONG = {
+    "bank_cash": ["bankcash", "cash", "bank"],
+    "receivables": ["receivables", "accountsreceivable"],
+    "other_assets": ["otherassets"],
+    "payables": ["payables", "accountspayable"],
+    "tax_liabilities": ["taxliabilities"],
+    "equity_retained_earnings": ["equity", "retainedearnings", "equityretainedearnings"],
+}
+WIDE = {
+    "bank_cash": ["bank_cash", "cash_amount", "bank_balance_amount"],
+    "receivables": ["receivables", "receivables_amount", "invoice_outstanding_amount"],
+    "other_assets": ["other_assets", "other_assets_amount"],
+    "payables": ["payables", "payables_amount", "bill_outstanding_amount"],
+    "tax_liabilities": ["tax_liabilities", "tax_liability_amount"],
+    "equity_retained_earnings": ["equity_retained_earnings", "retained_earnings", "equity_amount"],
 }
 
 
@@ -46,19 +54,26 @@ def open_items(raw: DataFrame, day) -> DataFrame:
 
 
 def balance_sheet(snapshots: DataFrame, day, date: str = "as_of_date") -> DataFrame:
-    """(line, amount) of the latest snapshot up to ``day``: wide snapshots are unpivoted, long ones (line, amount) taken as they are."""
-    rows = as_of(snapshots, date, day)
-    if not {"line", "amount"} <= set(rows.columns):
-        cols = [c for c in rows.columns if c != date]
-        rows = rows.select(date, *[F.col(c).cast("double") for c in cols]).unpivot([date], cols, "line", "amount")
-    key = F.regexp_replace(F.lower(F.trim("line")), "[^a-z0-9]+", "_")
-    case = reduce(lambda acc, kv: acc.when(key.isin(*kv[1]), F.lit(kv[0])), ALIASES.items(), F)
-    sums = rows.withColumn("line", case.otherwise(F.lit(None))).where("line IS NOT NULL").groupBy("line").agg(F.sum(F.col("amount").cast("double")).alias("amount"))
-    every = snapshots.sparkSession.createDataFrame([(k,) for k in ALIASES], "line string")
-    return F.broadcast(every).join(sums, "line", "left").select("line", F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    """(line, amount) of the latest snapshot up to ``day``; lines without an amount are NULL.
+
+    Long sheets have ``line_item`` and ``amount_inr`` (or ``amount``); lines that these lack are taken from wide
+    columns, of which the first with an amount counts."""
+    rows = as_of(snapshots, date, day) if date in snapshots.columns else snapshots
+    number = lambda c: F.col(c).try_cast("double")
+    wide = {line: [c for c in names if c in rows.columns] for line, names in WIDE.items()}
+    aggs = [F.coalesce(*[F.sum(number(c)) for c in cols], F.lit(None).cast("double")).alias(line) for line, cols in wide.items()]
+    known = rows.agg(*aggs).unpivot([], list(WIDE), "line", "amount")
+    amount = next((c for c in ("amount_inr", "amount") if c in rows.columns), None)
+    if "line_item" in rows.columns and amount:
+        key = F.regexp_replace(F.lower(F.coalesce("line_item", F.lit(""))), "[^a-z]", "")
+        case = reduce(lambda acc, kv: acc.when(key.isin(*kv[1]), F.lit(kv[0])), LONG.items(), F)
+        long = rows.withColumn("line", case.otherwise(F.lit(None))).where("line IS NOT NULL").groupBy("line").agg(F.sum(number(amount)).alias("given"))
+        known = known.join(F.broadcast(long), "line", "left").select("line", F.coalesce("given", "amount").alias("amount"))  # six lines at most
+    return known
 
 
 def balance_totals(lines: DataFrame) -> DataFrame:
     s = lambda *names: F.sum(F.when(F.col("line").isin(*names), F.col("amount")).otherwise(F.lit(0.0)))
+    lines = lines.withColumn("amount", F.coalesce("amount", F.lit(0.0)))
     out = lines.agg(s("bank_cash", "receivables", "other_assets").alias("total_assets"), s("payables", "tax_liabilities").alias("total_liabilities"), s("equity_retained_earnings").alias("equity"))
     return out.withColumn("difference", F.round(F.col("total_assets") - F.col("total_liabilities") - F.col("equity"), 2))

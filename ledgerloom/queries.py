@@ -355,10 +355,11 @@ def invoice_key_normalise(spark, sf_dir):
 
 
 @query("numeric_invoice_token", r"""
-SELECT l_orderkey, l_linenumber, CASE WHEN t IS NULL THEN '' WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END AS token
-FROM (SELECT *, regexp_extract_all(regexp_replace(regexp_replace(invoice_key, '^#+\s*', ''), '[\s/\-_.]*20[0-9]{2}-[0-9]{2}$', ''), '\d+')[-1] AS t FROM (""" + _KEYS + ") k) q")
+SELECT l_orderkey, l_linenumber, coalesce(t, '') AS token, CASE WHEN t IS NULL THEN '' WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END AS number
+FROM (SELECT *, regexp_extract_all(regexp_replace(regexp_replace(invoice_key, '^#+\s*', ''), '[/\-_.\\]20[0-9]{2}-[0-9]{2}$', ''), '\d+')[-1] AS t FROM (""" + _KEYS + ") k) q")
 def numeric_invoice_token(spark, sf_dir):
-    return _numbers(spark, sf_dir).select("l_orderkey", "l_linenumber", text.numeric_token(F.col("raw")).alias("token"))
+    tokens = _numbers(spark, sf_dir).select("l_orderkey", "l_linenumber", text.numeric_token(F.col("raw")).alias("token"))
+    return tokens.withColumn("number", text.zero_tolerant(F.col("token")))
 
 
 @query("token_jaccard", """
@@ -394,72 +395,94 @@ def json_number_fields(spark, sf_dir):
     return e.select("event_id", J.first_number("r", "k").cast("double").alias("k"))
 
 
-# ---- linkage: whole tables; the four with SQL take ``part``, by default the orders that their fixed SQL names
+# ---- linkage over whole tables; what the engines choose is tested against a sequential loop in tests/
 
-SQL_PART = 40
+_DAY = "CAST(o_orderdate AS DATE)"
+_RETURN_DAY = f"{_DAY} + CAST(CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 0 END AS INTEGER)"
 
 
-@query("gst_period_filter", """
-SELECT 'b-' || k AS books_record_id FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 40 = 0) o
-WHERE k % 11 != 7 AND day BETWEEN (SELECT min(CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 0 END AS INTEGER)) FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 11 != 5) AND (SELECT max(CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 0 END AS INTEGER)) FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 11 != 5)""")
-def gst_period_filter(spark, sf_dir, part=SQL_PART):
-    return tax_matching.within_period(bridge.books_lines(spark, sf_dir, part), bridge.gstr_lines(spark, sf_dir, part)).select("books_record_id")
+@query("gst_period_filter", f"""
+SELECT 'b-' || o_orderkey AS books_record_id FROM orders
+WHERE o_orderkey % 11 != 7 AND {_DAY} BETWEEN (SELECT min({_RETURN_DAY}) FROM orders WHERE o_orderkey % 11 != 5) AND (SELECT max({_RETURN_DAY}) FROM orders WHERE o_orderkey % 11 != 5)""")
+def gst_period_filter(spark, sf_dir):
+    return tax_matching.within_period(bridge.books_lines(spark, sf_dir), bridge.gstr_lines(spark, sf_dir)).select("books_record_id")
 
 
-def _ladder(spark, sf_dir, level, part):
-    pairs = tax_matching.ladder(tax_matching.prepare_lines(bridge.gstr_lines(spark, sf_dir, part)), tax_matching.prepare_books(bridge.books_lines(spark, sf_dir, part)))
-    return pairs.where(F.col("level") == level).select(F.col("g_id").alias("gstr_line_id"), F.col("b_id").alias("books_record_id"), "match_status", "match_confidence")
+def _level(spark, sf_dir, level):
+    pairs = tax_matching.ladder(tax_matching.prepare_lines(bridge.gstr_lines(spark, sf_dir)), tax_matching.prepare_books(bridge.books_lines(spark, sf_dir)))
+    return pairs.where(F.col("match_level") == level).select(F.col("g_line_id").alias("gstr_line_id"), F.col("b_record_id").alias("books_record_id"), "match_status", "confidence_score")
 
 
-_SIDE = "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_custkey FROM orders WHERE o_orderkey % 40 = 0"
-_P1_PAIR = f"FROM ({_SIDE}) g WHERE k % 11 NOT IN (5, 7) AND k % 5 NOT IN (1, 2) AND k % 13 != 4"
+def _pairs_sql(matched: float, other: float, which: str, status: str = "'matched'") -> str:
+    """Return line k and book k are one document; k % 7 = 3 has other amounts, k % 13 = 4 a misread GSTIN, k % 5 = 1 a slash for the hyphen."""
+    return f"""SELECT 'g-' || o_orderkey AS gstr_line_id, 'b-' || o_orderkey AS books_record_id, CASE WHEN o_orderkey % 7 = 3 AND {status} = 'matched' THEN 'amount_mismatch' ELSE {status} END AS match_status,
+    CASE WHEN o_orderkey % 7 = 3 THEN {other}::DOUBLE ELSE {matched}::DOUBLE END AS confidence_score FROM orders WHERE o_orderkey % 11 NOT IN (5, 7) AND {which}"""
 
 
-@query("gst_p1_candidates", f"SELECT 'g-' || k AS gstr_line_id, 'b-' || k AS books_record_id, CASE WHEN k % 7 = 3 THEN 'amount_mismatch' ELSE 'matched' END AS match_status, CASE WHEN k % 7 = 3 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS match_confidence {_P1_PAIR}")
-def gst_p1_candidates(spark, sf_dir, part=SQL_PART):
-    return _ladder(spark, sf_dir, "P1_EXACT", part)
+@query("gst_p1_candidates", _pairs_sql(1.0, 0.85, "o_orderkey % 13 != 4 AND o_orderkey % 5 NOT IN (1, 2)"))
+def gst_p1_candidates(spark, sf_dir):
+    return _level(spark, sf_dir, "P1_EXACT")
 
 
-@query("gst_p3_format_candidates", f"SELECT 'g-' || k AS gstr_line_id, 'b-' || k AS books_record_id, CASE WHEN k % 7 = 3 THEN 'amount_mismatch' ELSE 'matched' END AS match_status, CASE WHEN k % 7 = 3 THEN 0.78::DOUBLE ELSE 0.88::DOUBLE END AS match_confidence {_P1_PAIR}")
-def gst_p3_format_candidates(spark, sf_dir, part=SQL_PART):
-    return _ladder(spark, sf_dir, "P3_FORMAT", part)
+@query("gst_p3_format_candidates", _pairs_sql(0.88, 0.78, "o_orderkey % 13 != 4 AND o_orderkey % 5 = 1"))
+def gst_p3_format_candidates(spark, sf_dir):
+    return _level(spark, sf_dir, "P3_FORMAT")
+
+
+@query("gst_p4_weak_candidates", _pairs_sql(0.62, 0.62, "o_orderkey % 13 = 4 AND o_orderkey % 5 != 2", "'possible_match'"))
+def gst_p4_weak_candidates(spark, sf_dir):
+    return _level(spark, sf_dir, "P4_WEAK_INVOICE")
+
+
+def _gst(spark, sf_dir):
+    return tax_matching.reconcile(bridge.gstr_lines(spark, sf_dir), bridge.books_lines(spark, sf_dir), "gu-1")
 
 
 @query("gst_reconciliation")
 def gst_reconciliation(spark, sf_dir):
-    return tax_matching.reconcile(bridge.gstr_lines(spark, sf_dir), bridge.books_lines(spark, sf_dir), "gu-1").select("g_id", "b_id", "level", "match_status", "match_confidence", "match_reason", "risk_level", "action_required", "review_priority", "status_rank", "status_label")
+    return _gst(spark, sf_dir).select("gstr_line_id", "books_record_id", "match_level", "match_status", "status_label", "confidence_score", "amount_difference", "match_reason", "action_required", "ai_summary", "ai_risk_level")
 
 
 @query("gst_status_summary")
 def gst_status_summary(spark, sf_dir):
-    return relational.status_counts(tax_matching.reconcile(bridge.gstr_lines(spark, sf_dir), bridge.books_lines(spark, sf_dir)), tax_matching.STATUSES)
+    return tax_matching.summary(_gst(spark, sf_dir))
+
+
+def _bank(spark, sf_dir):
+    return bank_matching.prepare_bank(bridge.bank_lines(spark, sf_dir)), bank_matching.prepare_books(bridge.accounting_lines(spark, sf_dir))
 
 
 @query("bank_reconciliation")
 def bank_reconciliation(spark, sf_dir):
     out = bank_matching.reconcile(bridge.bank_lines(spark, sf_dir), bridge.accounting_lines(spark, sf_dir))
-    return out.select("bank_line_id", "accounting_record_id", "match_status", "match_confidence", "match_reason", "action_required", "section_ord")
+    return out.select("bank_line_id", "accounting_record_id", "match_status", "confidence_score", "match_reason", "action_required", "section_ord")
+
 
+@query("bank_status_summary")
+def bank_status_summary(spark, sf_dir):
+    return bank_matching.summary(bank_matching.reconcile(bridge.bank_lines(spark, sf_dir), bridge.accounting_lines(spark, sf_dir)))
 
-_BANK = "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS price, o_custkey FROM orders WHERE o_orderkey % 40 = 0"
-_BANK_PAIRS = f"""
-WITH b AS (SELECT k, day + CAST(k % 6 AS INTEGER) AS day, price + CASE k % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 ELSE 250.0 END AS amount FROM ({_BANK}) x), a AS ({_BANK}),
-p AS (SELECT b.k AS bk, a.k AS ak, abs(b.amount - a.price) AS gap, abs(b.day - a.day) AS days, b.amount FROM b, a WHERE abs(b.amount - a.price) <= greatest(0.15 * abs(b.amount), 1) OR abs(b.day - a.day) <= 3)
-SELECT 'bank-' || bk AS bank_line_id, 'acct-' || ak AS accounting_record_id, CAST(days AS INTEGER) AS day_gap, round(0.45 * CASE WHEN gap <= 1 THEN 1.0 ELSE greatest(0.0, 1 - gap / greatest(abs(amount), 1.0)) END + 0.25 * greatest(0.0, 1 - days / 4.0), 3) AS score FROM p"""
 
+_BANK_PAIRS = """
+WITH a AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS price FROM orders),
+b AS (SELECT k, day + CAST(k % 6 AS INTEGER) AS day, price + CASE k % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 ELSE 250.0 END AS amount FROM a),
+p AS (SELECT b.k AS bk, a.k AS ak, abs(b.amount - a.price) AS gap, abs(b.day - a.day) AS days, b.amount FROM b JOIN a ON a.day BETWEEN b.day - 1 AND b.day + 1)
+SELECT 'bank-' || bk AS bank_line_id, 'acct-' || ak AS accounting_record_id, CAST(days AS INTEGER) AS day_gap FROM p
+WHERE 0.45 * CASE WHEN gap <= 1 THEN 1.0 ELSE greatest(0.0, 1 - gap / greatest(abs(amount), 1.0)) END + 0.25 * greatest(0.0, 1 - days / 4.0) + 0.30 >= 0.87994"""
 
-@query("bank_score_no_ratio", _BANK_PAIRS)
-def bank_score_no_ratio(spark, sf_dir, part=SQL_PART):
-    bank, books = bank_matching.prepare_bank(bridge.bank_lines(spark, sf_dir, part)), bank_matching.prepare_books(bridge.accounting_lines(spark, sf_dir, part))
-    pairs = bank_matching.scored(bank, books, similarity=lambda a, b: F.lit(0.0))
-    score = F.round(F.col("amount_score") * 0.45 + F.col("date_score") * 0.25, 3)
-    return pairs.select("bank_line_id", "accounting_record_id", "day_gap", score.alias("score"))
+
+@query("bank_score_bound", _BANK_PAIRS)
+def bank_score_bound(spark, sf_dir):
+    """The pairs of the first step: those that amount and date alone allow a rounded score of 0.88."""
+    b, r = bank_matching._narrow(*_bank(spark, sf_dir))
+    pairs = bank_matching.pairs_between(b, r, 0.88, 2.0)
+    return pairs.select(F.concat(F.lit("bank-"), "row_ord").alias("bank_line_id"), F.concat(F.lit("acct-"), "book_ord").alias("accounting_record_id"), "day_gap")
 
 
 @query("bank_top_candidates")
 def bank_top_candidates(spark, sf_dir):
-    bank, books = bank_matching.prepare_bank(bridge.bank_lines(spark, sf_dir)), bank_matching.prepare_books(bridge.accounting_lines(spark, sf_dir))
-    return bank_matching.top_candidates(bank, books).select("bank_line_id", "accounting_record_id", "score", "day_gap")
+    top = bank_matching.top_candidates(*_bank(spark, sf_dir))
+    return top.select(F.concat(F.lit("bank-"), "row_ord").alias("bank_line_id"), F.concat(F.lit("acct-"), "book_ord").alias("accounting_record_id"), "score", "day_gap")
 
 
 # ---- reports
@@ -532,10 +555,29 @@ def balance_sheet_open_items(spark, sf_dir):
     return consolidated.open_items(bridge.bronze(spark, sf_dir, "invoices", "bills"), date(1997, 12, 31)).withColumn("amount", F.round("amount", 1))
 
 
-@query("balance_sheet_wide")
+_SHEET = "SELECT c_nationkey AS d, CAST(sum(CAST(round(c_acctbal, 2) AS DECIMAL(18,2))) AS DOUBLE) AS s, max(c_acctbal) AS m FROM customer GROUP BY 1"
+
+
+def _snapshots(spark, sf_dir):
+    money = F.sum(F.round("c_acctbal", 2).cast("decimal(18,2)")).cast("double")
+    return _table(spark, sf_dir, "customer").groupBy(F.date_add(F.lit("1997-01-01").cast("date"), F.col("c_nationkey").cast("int")).alias("as_of_date")).agg(money.alias("total"), F.max("c_acctbal").alias("most"))
+
+
+@query("balance_sheet_wide", f"""
+WITH x AS (SELECT * FROM ({_SHEET}) q WHERE d <= 20 ORDER BY d DESC LIMIT 1)
+SELECT unnest(['bank_cash', 'receivables', 'other_assets', 'payables', 'tax_liabilities', 'equity_retained_earnings']) AS line, unnest([s, m, NULL, NULL, NULL, s]) AS amount FROM x""")
 def balance_sheet_wide(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").groupBy(F.add_months(F.lit("1997-01-01").cast("date"), F.col("c_nationkey")).alias("as_of_date")).agg(F.sum("c_acctbal").alias("Bank Cash"), F.max("c_acctbal").alias("Trade Receivables"), F.min("c_acctbal").alias("Payables"))
-    return consolidated.balance_sheet(c, date(1998, 1, 1))
+    c = _snapshots(spark, sf_dir).select("as_of_date", F.col("total").alias("bank_balance_amount"), F.col("most").alias("receivables"), F.col("total").alias("retained_earnings"))
+    return consolidated.balance_sheet(c, date(1997, 1, 21))
+
+
+@query("balance_sheet_long", f"""
+WITH x AS (SELECT * FROM ({_SHEET}) q WHERE d <= 20 ORDER BY d DESC LIMIT 1)
+SELECT unnest(['bank_cash', 'receivables', 'other_assets', 'payables', 'tax_liabilities', 'equity_retained_earnings']) AS line, unnest([NULL, s, NULL, m, NULL, NULL]) AS amount FROM x""")
+def balance_sheet_long(spark, sf_dir):
+    lines = F.array(F.struct(F.lit("Accounts Receivable").alias("n"), F.col("total").alias("v")), F.struct(F.lit("Payables").alias("n"), F.col("most").alias("v")), F.struct(F.lit("Goodwill").alias("n"), F.col("most").alias("v")))
+    c = _snapshots(spark, sf_dir).select("as_of_date", F.explode(lines).alias("x")).select("as_of_date", F.col("x.n").alias("line_item"), F.col("x.v").alias("amount_inr"))
+    return consolidated.balance_sheet(c, date(1997, 1, 21))
 
 
 @query("vendor_report", f"""

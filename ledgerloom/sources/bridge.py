@@ -114,35 +114,35 @@ def bronze(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
     return out
 
 
-def bank_lines(spark, sf_dir, modulus: int = 1) -> DataFrame:
-    """Bank lines of all orders (with a ``modulus``, of those it divides): shifted days, noisy amounts, other wording."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % modulus == 0)
+def bank_lines(spark, sf_dir) -> DataFrame:
+    """Bank lines of all orders: shifted days, noisy amounts, other wording."""
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     amount = F.round(F.col("o_totalprice"), 2) + F.when(k % 3 == 0, F.lit(0.5)).when(k % 3 == 1, F.lit(0.0)).otherwise(F.lit(250.0))
     return o.select(F.concat(F.lit("bank-"), k).alias("bank_line_id"), F.lit("up-1").alias("upload_id"), F.date_add(F.to_date("o_orderdate"), (k % 6).cast("int")).cast("string").alias("bank_date"), F.concat(F.lit("Receipt Customer "), F.col("o_custkey"), F.lit(" INV-"), k).alias("bank_narration"), F.lit(0.0).alias("debit_amount"), amount.alias("credit_amount"), F.lit(None).cast("double").alias("balance_amount"), amount.alias("bank_amount"), k.alias("row_ord"))
 
 
-def accounting_lines(spark, sf_dir, modulus: int = 1) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % modulus == 0)
+def accounting_lines(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     return o.select(F.concat(F.lit("acct-"), k).alias("accounting_record_id"), F.to_date("o_orderdate").cast("string").alias("accounting_date"), F.concat(F.lit("Customer "), F.col("o_custkey")).alias("accounting_party_name"), F.lit("").alias("reference_number"), F.concat(F.lit("INV-"), k).alias("transaction_number"), F.lit("customer_payment").alias("transaction_type"), F.round("o_totalprice", 2).alias("accounting_amount"), F.lit("invoice").alias("source_type"), k.alias("row_ord"))
 
 
-def _tax_side(spark, sf_dir, modulus: int) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % modulus == 0)
+def _tax_side(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
     gstin = F.concat(F.lit("29ABCDE"), F.lpad(F.col("o_custkey").cast("string"), 4, "0"), F.lit("F1Z7"))
     return o.select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.round(F.col("o_totalprice"), 2).alias("taxable"), F.concat(F.lit("Vendor "), F.col("o_custkey")).alias("name"), gstin.alias("gstin"))
 
 
-def gstr_lines(spark, sf_dir, modulus: int = 1) -> DataFrame:
-    s, k = _tax_side(spark, sf_dir, modulus), F.col("k")
+def gstr_lines(spark, sf_dir) -> DataFrame:
+    s, k = _tax_side(spark, sf_dir), F.col("k")
     number = F.when(k % 5 == 1, F.concat(F.lit("INV/"), k)).when(k % 5 == 2, F.concat(F.lit("25-26/"), k)).otherwise(F.concat(F.lit("INV-"), k))
     taxable = F.col("taxable") + F.when(k % 7 == 3, F.lit(50.0)).otherwise(F.lit(0.0))
     tax = F.round(taxable * 0.18, 2)
     return s.where(k % 11 != 5).select(F.concat(F.lit("g-"), k).alias("gstr_line_id"), F.lit("gu-1").alias("upload_id"), F.col("name").alias("supplier_name"), F.when(k % 13 == 4, F.translate("gstin", "1", "I")).otherwise(F.col("gstin")).alias("gstin"), number.alias("invoice_number"), F.date_add("day", F.when(k % 4 == 1, F.lit(3)).otherwise(F.lit(0))).cast("string").alias("invoice_date"), F.date_format("day", "yyyy-MM").alias("period"), taxable.alias("taxable_value"), tax.alias("igst_amount"), F.lit(0.0).alias("cgst_amount"), F.lit(0.0).alias("sgst_amount"), tax.alias("total_tax"), F.round(taxable + tax, 2).alias("invoice_value"), k.alias("row_ord"))
 
 
-def books_lines(spark, sf_dir, modulus: int = 1) -> DataFrame:
-    s, k = _tax_side(spark, sf_dir, modulus), F.col("k")
+def books_lines(spark, sf_dir) -> DataFrame:
+    s, k = _tax_side(spark, sf_dir), F.col("k")
     tax = F.round(F.col("taxable") * 0.18, 2)
     return s.where(k % 11 != 7).select(F.concat(F.lit("b-"), k).alias("books_record_id"), F.lit("bill").alias("books_source_type"), F.col("name").alias("party_name"), F.col("gstin"), F.concat(F.lit("INV-"), k).alias("invoice_number"), F.col("day").cast("string").alias("books_invoice_date"), F.col("taxable").alias("books_taxable_value"), tax.alias("books_igst_amount"), F.lit(0.0).alias("books_cgst_amount"), F.lit(0.0).alias("books_sgst_amount"), tax.alias("books_tax_amount"), F.round(F.col("taxable") + tax, 2).alias("books_invoice_value"), k.alias("row_ord"))

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions.money import to_money
+from ledgerloom.functions.text import cell_guard
 from ledgerloom.operators.relational import clamp_limit, qualify
 
 
+#: Bronze rows of one file.
+ROWS_PER_FILE = 1_000_000
+
+
 def raw_records(records: DataFrame, entity: str, run_id: str, org: dict, loaded_at: Column | None = None, id_field: str | None = None) -> DataFrame:
     """Bronze rows of source records: the whole record as JSON, its id as text ('' if there is none)."""
     key = id_field or schemas.ENTITY_IDS.get(entity, f"{entity[:-1]}_id")
@@ -23,11 +28,13 @@ def raw_records(records: DataFrame, entity: str, run_id: str, org: dict, loaded_
 
 
 def append_bronze(rows: DataFrame, path: str) -> int:
-    """Appends bronze rows, stored by entity and load day; nothing is written for no rows. Returns the count."""
+    """Appends bronze rows, stored by entity and load day; nothing is written for no rows. Returns the count.
+
+    Rows are dealt by entity and record, so a large entity is written by many tasks."""
     n = rows.count()
     if n:
-        out = rows.withColumn("load_date", F.to_date("loaded_at"))
-        out.repartition("entity_name").sortWithinPartitions("source_org_key", "source_record_id").write.mode("append").partitionBy("entity_name", "load_date").parquet(path)
+        out = rows.withColumns({"load_date": F.to_date("loaded_at"), "__part": F.pmod(F.xxhash64("source_record_id"), F.lit(max(1, n // ROWS_PER_FILE)))})
+        out.repartition("entity_name", "__part").drop("__part").sortWithinPartitions("entity_name", "source_org_key", "source_record_id").write.mode("append").partitionBy("entity_name", "load_date").parquet(path)
     return n
 
 
@@ -55,6 +62,11 @@ def run_event(spark: SparkSession, run_id: str, status: str, started_at: str, **
     return spark.createDataFrame([tuple(str(row[f]) if row.get(f) is not None else None for f in schemas.RUNS.fieldNames())], ", ".join(f"{f} string" for f in schemas.RUNS.fieldNames())).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RUNS])
 
 
+def log_run(spark: SparkSession, path: str, run_id: str, status: str, started_at: str, **values) -> None:
+    """Appends one event to the run log."""
+    run_event(spark, run_id, status, started_at, **values).write.mode("append").parquet(path)
+
+
 def run_history(log: DataFrame, limit: int = 25, status: str | None = None) -> DataFrame:
     """Latest event of each run, newest first, with duration in whole seconds (not below 0)."""
     last = qualify(log, ["run_id"], [F.col("updated_at").desc(), F.col("completed_at").desc_nulls_last(), F.col("created_at").desc(), F.col("status").desc()])
@@ -85,13 +97,25 @@ def _require(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def snake_case(df: DataFrame) -> DataFrame:
+    """Column names in lower case with one underscore between words."""
+    import re
+
+    return df.toDF(*[re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_") for c in df.columns])
+
+
 def _line_ids(df: DataFrame, upload_id: str, name: str) -> DataFrame:
-    """Deterministic ids, so a repeated save gives the same rows."""
+    """Ids that a repeated save gives again: rows are known by their number, or (without numbers) by content and copy."""
     from pyspark.sql import Window as W
 
-    if "raw_row_number" not in df.columns:
-        df = df.withColumn("raw_row_number", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long"))
-    return df.withColumns({"upload_id": F.lit(upload_id), name: F.sha2(F.concat_ws(":", F.lit(upload_id), F.col("raw_row_number")), 256)})
+    if "raw_row_number" in df.columns:
+        row = F.col("raw_row_number").cast("string")
+    else:
+        content = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+        df = df.withColumn("__row", content)
+        df = df.withColumns({"__copy": F.row_number().over(W.partitionBy("__row").orderBy("__row")), "raw_row_number": F.lit(None).cast("long")})
+        row = F.concat_ws("#", "__row", "__copy")
+    return df.withColumns({"upload_id": F.lit(upload_id), name: F.sha2(F.concat_ws(":", F.lit(upload_id), row), 256)}).drop("__row", "__copy")
 
 
 def bank_upload(df: DataFrame, upload_id: str, created_at: Column | None = None) -> DataFrame:
@@ -139,6 +163,39 @@ def latest_upload(registry: DataFrame, file_type: str, upload_id: str | None = N
     return qualify(rows, ["upload_id"], [F.col("uploaded_at").desc(), F.col("parse_status").desc()]).orderBy(F.col("uploaded_at").desc(), "upload_id").limit(1)
 
 
+def register(spark: SparkSession, registry: str, upload_id: str, file_type: str, file_name: str, status: str, uploaded_at: str, records: int | None = None, **values) -> None:
+    """Appends a row to the upload registry; the last row of an upload is its state."""
+    row = {"upload_id": upload_id, "file_type": file_type, "original_file_name": file_name, "uploaded_at": uploaded_at, "parse_status": status, "records_parsed": records} | values
+    cells = tuple(str(row[f]) if row.get(f) is not None else None for f in schemas.UPLOADS.fieldNames())
+    text = spark.createDataFrame([cells], ", ".join(f"{f} string" for f in schemas.UPLOADS.fieldNames()))
+    text.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.UPLOADS]).write.mode("append").parquet(registry)
+
+
+def save_upload(lines: DataFrame, path: str, registry: str, upload_id: str, file_type: str, file_name: str, uploaded_at: str) -> int:
+    """Replaces the stored lines of an upload and registers it, as failed if they can't be stored. Lines are stored by upload."""
+    spark = lines.sparkSession
+    try:
+        n = lines.count()
+        lines.drop("upload_id").write.mode("overwrite").parquet(f"{path}/upload_id={upload_id}")
+    except Exception as e:
+        register(spark, registry, upload_id, file_type, file_name, "failed", uploaded_at, error_message=str(e)[:500])
+        raise
+    register(spark, registry, upload_id, file_type, file_name, "parsed", uploaded_at, n)
+    return n
+
+
+def read_uploads(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete_upload(spark: SparkSession, path: str, registry: str, upload_id: str, file_type: str, file_name: str, deleted_at: str) -> bool:
+    """Deletes the stored lines of one upload, no others, and registers that; whether there were any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/upload_id={upload_id}")
+    gone = folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    register(spark, registry, upload_id, file_type, file_name, "deleted", deleted_at)
+    return gone
+
+
 def without_upload(lines: DataFrame, upload_id: str) -> tuple[DataFrame, int]:
     """The rows of all other uploads, and how many rows go."""
     return lines.where(~F.col("upload_id").eqNullSafe(F.lit(upload_id))), lines.where(F.col("upload_id") == upload_id).count()
@@ -153,7 +210,8 @@ def output_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_report(sheets: dict[str, DataFrame], path: str) -> list[str]:
-    """A report's sheets, each as a Parquet table; texts that a spreadsheet would run are guarded by the reader's ``cell_guard``."""
+    """A report's sheets, each as a Parquet table; texts that a spreadsheet would run as formulas are guarded."""
     for name, df in sheets.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name.lower().replace(' ', '_')}")
+        guarded = [cell_guard(F.col(f"`{c}`")).alias(c) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes]
+        df.select(*guarded).write.mode("overwrite").parquet(f"{path}/{name.lower().replace(' ', '_')}")
     return list(sheets)

@@ -17,29 +17,32 @@ from ledgerloom.sources.ingest import parse_day, period_month
 
 # fixed values: spellings of the columns
 BANK = {
-    "transaction_date": ["date", "transactiondate", "txndate", "trandate", "postingdate", "bookingdate"],
-    "value_date": ["valuedate", "valuedt", "effectivedate"],
-    "narration": ["narration", "description", "particulars", "transactiondetails", "details", "remarks", "transactionremarks", "transactionparticulars"],
-    "debit_amount": ["debit", "debitamount", "withdrawal", "withdrawals", "withdrawalamt", "withdrawalamount", "paidout", "dr"],
-    "credit_amount": ["credit", "creditamount", "deposit", "deposits", "depositamt", "depositamount", "paidin", "cr"],
-    "amount": ["amount", "transactionamount", "txnamount"],
-    "balance_amount": ["balance", "balanceamount", "closingbalance", "runningbalance", "availablebalance"],
-    "reference_number": ["reference", "referencenumber", "refno", "chequeno", "chqrefno", "chqno", "utr", "transactionid"],
+    "transaction_date": ["txn date", "transaction date", "date", "value date", "trans date", "posting date"],
+    "narration": ["description", "narration", "particulars", "transaction details", "transaction detail", "details", "remarks"],
+    "debit_amount": ["withdrawal", "withdrawals", "debit", "debit amount", "paid out", "withdrawal amt", "dr amount", "dr"],
+    "credit_amount": ["deposit", "deposits", "credit", "credit amount", "paid in", "deposit amt", "cr amount", "cr"],
+    "balance_amount": ["balance", "closing balance", "running balance", "amount balance", "balance amount", "available balance"],
+    "amount": ["amount", "transaction amount", "txn amount", "transaction amt"],
+    "reference_number": ["reference number", "reference no", "ref no", "cheque no", "chq no", "utr"],
 }
 GSTR = {
-    "supplier_gstin": ["gstin", "gstinofsupplier", "suppliergstin", "gstnumber", "gstno", "ctin"],
-    "supplier_name": ["suppliername", "tradelegalname", "tradename", "legalname", "vendorname", "name"],
-    "invoice_number": ["invoicenumber", "invoiceno", "invno", "inum", "documentnumber", "billnumber", "noteno"],
-    "invoice_date": ["invoicedate", "invdate", "idt", "documentdate", "date"],
-    "period": ["period", "returnperiod", "taxperiod", "fp", "gstr1period"],
-    "taxable_value": ["taxablevalue", "taxableamount", "txval", "taxable"],
-    "igst_amount": ["igst", "igstamount", "integratedtax", "iamt", "integratedtaxamount"],
-    "cgst_amount": ["cgst", "cgstamount", "centraltax", "camt", "centraltaxamount"],
-    "sgst_amount": ["sgst", "sgstamount", "statetax", "samt", "stateuttax", "sgstutgst", "stateuttaxamount"],
-    "cess_amount": ["cess", "cessamount", "csamt"],
-    "total_tax": ["totaltax", "taxamount", "totaltaxamount"],
-    "invoice_value": ["invoicevalue", "invoiceamount", "val", "totalinvoicevalue", "totalamount"],
+    "supplier_gstin": ["gstin", "gst number", "gst no", "gstin of supplier", "gstin/uin of supplier", "gstin/uin of the supplier", "supplier gstin", "supplier_gstin"],
+    "supplier_name": ["trade/legal name", "trade legal name", "supplier name", "legal name", "trade name"],
+    "invoice_number": ["invoice number", "invoice no", "invoice no.", "invoice num", "invoice_number", "inum"],
+    "invoice_date": ["invoice date", "invoice dt", "invoice_date", "idt"],
+    "invoice_value": ["invoice value", "invoice value(₹)", "invoice value (₹)", "invoice value rs", "invoice value inr", "val"],
+    "taxable_value": ["taxable value", "taxable value(₹)", "taxable value (₹)", "taxable amount", "taxable value rs", "taxable value inr", "txval"],
+    "igst_amount": ["integrated tax", "integrated tax(₹)", "integrated tax (₹)", "integrated tax amount", "igst", "igst amount", "iamt"],
+    "cgst_amount": ["central tax", "central tax(₹)", "central tax (₹)", "central tax amount", "cgst", "cgst amount", "camt"],
+    "sgst_amount": ["state/ut tax", "state/ut tax(₹)", "state/ut tax (₹)", "state tax", "state tax amount", "sgst", "sgst amount", "samt"],
+    "cess_amount": ["cess", "cess(₹)", "cess (₹)", "cess amount", "csamt"],
+    "place_of_supply": ["place of supply", "pos"],
+    "period": ["return period", "filing period", "tax period", "period"],
+    "invoice_type": ["invoice type"],
+    "reverse_charge": ["supply attract reverse charge", "reverse charge"],
 }
+#: Columns of the stored uploads that may come along under their own names.
+STORED = {"value_date": ["value date"], "total_tax": ["total tax"]}
 
 
 def alias_key(text: str | None) -> str:
@@ -80,8 +83,9 @@ def _scores(kind: str, names: Column) -> tuple[Column, Column]:
 def header_of(sheets: DataFrame, kind: str) -> DataFrame:
     """(sheet, row_idx, cells) of the best header: highest score, then first sheet, then first row."""
     aliases, rows = (BANK, 30) if kind == "bank" else (GSTR, 50)
+    spelled = sorted({(alias_key(a), n) for n, names in aliases.items() for a in names})
     cell = sheets.where(F.col("row_idx") < rows).withColumn("cell", F.explode("cells")).withColumn("k", _key(F.col("cell")))
-    table = F.broadcast(sheets.sparkSession.createDataFrame([(a, n) for n, names in aliases.items() for a in names], "k string, name string"))
+    table = F.broadcast(sheets.sparkSession.createDataFrame(spelled, "k string, name string"))
     found = cell.join(table, "k").groupBy("sheet", "row_idx").agg(F.collect_set("name").alias("names"), F.first("cells").alias("cells"))
     score, fit = _scores(kind, F.col("names"))
     return found.where(fit).withColumn("score", score).orderBy(F.desc("score"), "sheet", "row_idx").limit(1).select("sheet", "row_idx", "cells")
@@ -92,11 +96,11 @@ def body(sheets: DataFrame, kind: str) -> DataFrame:
     head = header_of(sheets, kind).first()
     if head is None:
         raise ValueError("no header row was found")
-    aliases = BANK if kind == "bank" else GSTR
+    aliases = (BANK if kind == "bank" else GSTR) | STORED
+    keys = {n: {alias_key(a) for a in names} for n, names in aliases.items()}
     places: dict[str, list[int]] = {}
     for i, text in enumerate(head["cells"]):
-        name = next((n for n, keys in aliases.items() if alias_key(text) in keys), None)
-        if name:
+        for name in (n for n in aliases if alias_key(text) in keys[n]):
             places.setdefault(name, []).append(i)
     rows = sheets.where((F.col("sheet") == head["sheet"]) & (F.col("row_idx") > head["row_idx"]))
     cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
@@ -130,7 +134,7 @@ def derive_return(b: DataFrame) -> DataFrame:
     taxable = F.when(F.col("taxable_value").isNotNull() & (taxable != 0), taxable).otherwise(F.greatest(value - tax, F.lit(0).cast("decimal(38,2)")))
     day = parse_day(F.col("invoice_date"))
     out = b.where(F.col("supplier_gstin").isNotNull() | F.col("invoice_number").isNotNull())
-    return out.select("supplier_gstin", "supplier_name", "invoice_number", day.alias("invoice_date"), F.coalesce(period_month(F.col("period")), F.date_format(day, "yyyy-MM")).alias("period"), taxable.alias("taxable_value"), *[v.alias(c) for c, v in parts.items()], tax.alias("total_tax"), F.when(F.col("invoice_value").isNotNull() & (value != 0), value).otherwise(taxable + tax).alias("invoice_value"))
+    return out.select("supplier_gstin", "supplier_name", "invoice_number", day.alias("invoice_date"), F.coalesce(period_month(F.col("period")), F.date_format(day, "yyyy-MM")).alias("period"), taxable.alias("taxable_value"), *[v.alias(c) for c, v in parts.items()], tax.alias("total_tax"), F.when(F.col("invoice_value").isNotNull() & (value != 0), value).otherwise(taxable + tax).alias("invoice_value"), "place_of_supply", "invoice_type", "reverse_charge")
 
 
 RECORD_KEYS = ("invoices", "records", "data")
@@ -140,8 +144,8 @@ def json_return(spark: SparkSession, path: str) -> DataFrame:
     """Return lines of JSON files: the records under a known key, at any depth, else the whole object as one record."""
     import json
 
-    names = list(GSTR)
-    known = {a: n for n, keys in GSTR.items() for a in keys}
+    names = [*GSTR, "total_tax"]
+    known = {alias_key(a): n for n, keys in [*GSTR.items(), ("total_tax", STORED["total_tax"])] for a in keys}
 
     def records(node) -> list[dict]:
         todo, out = [node], []

@@ -1,8 +1,10 @@
-"""The two linkage engines on small hand-made inputs, and against a sequential loop."""
+"""The two linkage engines on hand-made inputs, and against loops that go through all pairs in order."""
 
 import random
+from datetime import date
+from difflib import SequenceMatcher
 
-from pyspark.sql import functions as F
+import pytest
 
 from ledgerloom.operators import bank_matching, tax_matching
 from ledgerloom.operators.assign import greedy
@@ -30,62 +32,329 @@ def test_bank_example(spark):
         ("opening-duplicate", "u", "2026-05-01", "Opening Balance", 0.0, 25000.0, 25000.0, 25000.0),
     )
     a = books(spark, ("acct-1", "2026-05-02", "Alpha Customer", "INV-1001", "INV-1001", "customer_payment", 100000.0), ("acct-2", "2026-05-06", "Beta Vendor", "BILL-2001", "BILL-2001", "bill_payable", -40000.0))
-    out = {r["bank_line_id"]: r for r in bank_matching.reconcile(b, a).collect()}
+    rows = bank_matching.reconcile(b, a)
+    out = {r["bank_line_id"]: r for r in rows.collect()}
     assert out["bank-1"]["match_status"] == "matched" and out["bank-1"]["accounting_record_id"] == "acct-1"
+    assert out["bank-1"]["match_reason"] == "amount matched within tolerance; date within 0 day(s); narration/party text is similar"
     assert out["bank-2"]["accounting_record_id"] == "acct-2"
-    assert out["bank-3"]["match_status"] == "bank_not_in_books"
+    assert out["bank-3"]["match_status"] == "bank_not_in_books" and out["bank-3"]["confidence_score"] == 0.0
     assert out["opening-1"]["match_status"] == "ignored_opening_balance"
     assert len(out) == 4
+    s = bank_matching.summary(rows, b.count()).first()
+    assert (s["uploaded_bank_rows"], s["ignored_opening_balance"], s["transaction_records"], s["unmatched"]) == (6, 1, 3, 1) and s["matched"] >= 1
 
 
 def test_bank_charge_pair(spark):
     b = bank(spark, ("b", "u", "2026-01-28", "Balance Based Chgs", 5000.0, 0.0, None, -5000.0))
     a = books(spark, ("a", "2026-01-31", "Bank Charges", "", "J-1", "journal", 5000.0))
     (row,) = bank_matching.reconcile(b, a).collect()
-    assert (row["match_status"], row["match_confidence"]) == ("possible_match", 0.74)
+    assert (row["match_status"], row["confidence_score"]) == ("possible_match", 0.74)
+    assert row["match_reason"] == "bank charge amount matched by absolute value; date within 3 day(s); charge text is similar; review before confirming"
 
 
+@pytest.mark.parametrize("text, charge", [("BANK CHARGE apr", True), ("Balance-based chg", True), ("balance based charges", True), ("SMS chgs", True), ("Coffee shop fee", False), ("service charge", False), ("charges", True)])
+def test_charge_words(spark, text, charge):
+    from ledgerloom.functions import text as X
+
+    assert spark.createDataFrame([(text,)], "t string").select(X.is_charge(X.F.col("t"))).first()[0] is charge
+
+
+@pytest.mark.parametrize("text, opening", [("Opening Bal", True), ("OPENING BALANCE", True), ("balance b/f", True), ("balance bf", True), ("brought forward", False)])
+def test_opening_words(spark, text, opening):
+    from ledgerloom.functions import text as X
+
+    assert spark.createDataFrame([(text,)], "t string").select(X.is_opening(X.F.col("t"))).first()[0] is opening
+
+
+def _plain(t):
+    return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (t or "").lower()).split())
+
+
+def _bank_score(b, a):
+    """(score, days) of a pair, or None where neither amount nor date is near."""
+    days = abs((date.fromisoformat(b[2]) - date.fromisoformat(a[1])).days) if b[2] and a[1] else None
+    x, y = _plain(b[3]), _plain(" ".join(a[2:6]))
+    gap = abs(b[7] - a[6])
+    charge = lambda t: any(m in t for m in ("bank charge", "balance based ch", "charges", "chgs"))
+    if abs(abs(b[7]) - abs(a[6])) <= 1 and days is not None and days <= 5 and charge(x) and charge(y):
+        return 0.74, days
+    if gap > max(0.15 * abs(b[7]), 1) and (days is None or days > 3):
+        return None
+    amount = 1.0 if gap <= 1 else max(0.0, 1 - gap / max(abs(b[7]), 1))
+    day = 0.0 if days is None else max(0.0, 1 - days / 4)
+    words = 0.0
+    if x and y:
+        p, q = set(x.split()), set(y.split())
+        words = max(SequenceMatcher(None, x, y).ratio(), len(p & q) / len(p | q))
+    return round(0.45 * amount + 0.25 * day + 0.30 * words, 4), days
+
+
+def bank_in_order(lines, records):
+    used, out = set(), {}
+    for i, b in enumerate(lines):
+        best = None
+        for j, a in enumerate(records):
+            found = _bank_score(b, a) if j not in used else None
+            if found and found[0] >= 0.5:
+                key = (-found[0], 10**6 if found[1] is None else found[1], j)
+                best = key if best is None or key < best else best
+        if best:
+            used.add(best[2])
+            out[i] = (best[2], -best[0])
+    return out
+
+
+def _bank_case(rng, n):
+    names = ["alpha traders", "beta vendor", "gamma retail", "delta", "bank charges", "omega works ltd"]
+    lines, records = [], []
+    for i in range(n):
+        amount = rng.choice([1, -1]) * round(rng.choice([rng.uniform(0, 3), rng.uniform(50, 90), rng.uniform(900, 1400), 500.0]), 2)
+        day = rng.choice([None, f"2026-05-{rng.randint(1, 12):02d}"])
+        who = rng.choice(names)
+        lines.append((f"b{i}", "u", day, rng.choice(["receipt ", "", "chgs "]) + who + rng.choice(["", f" inv {i % 7}"]), 0.0, 0.0, float(i), amount))
+        other = rng.choice([amount, -amount, round(amount * rng.uniform(0.8, 1.2), 2), amount + rng.choice([-1, 1, 0.5])])
+        records.append((f"a{i}", rng.choice([None, f"2026-05-{rng.randint(1, 12):02d}"]), rng.choice(names), rng.choice(["", f"inv {i % 7}"]), f"T{i}", rng.choice(["payment", "charges"]), other))
+    return lines, records
+
+
+@pytest.mark.parametrize("few, rows", [(0, 40), (10**9, 10**6)])
+def test_bank_equals_choosing_in_order(spark, monkeypatch, few, rows):
+    from ledgerloom.operators import assign
+
+    monkeypatch.setattr(bank_matching, "FEW", few)
+    monkeypatch.setattr(assign.held, "__defaults__", (None, rows))
+    rng = random.Random(11)
+    lines, records = _bank_case(rng, 90)
+    want = bank_in_order(lines, records)
+    got = bank_matching.choose(bank_matching.prepare_bank(bank(spark, *lines)), bank_matching.prepare_books(books(spark, *records)))
+    assert {r["row_ord"]: r["book_ord"] for r in got.collect()} == {i: j for i, (j, _) in want.items()}
+    assert len(want) > 60
+
+
+def test_top_candidates_are_the_best(spark):
+    rng = random.Random(5)
+    lines, records = _bank_case(rng, 60)
+    b, a = bank_matching.prepare_bank(bank(spark, *lines)), bank_matching.prepare_books(books(spark, *records))
+    got: dict = {}
+    for r in bank_matching.top_candidates(b, a).collect():
+        got.setdefault(r["row_ord"], {})[r["book_ord"]] = r["score"]
+    for i, line in enumerate(lines):
+        every = sorted((-f[0], 10**6 if f[1] is None else f[1], j) for j, rec in enumerate(records) if (f := _bank_score(line, rec)) and f[0] >= 0.5)
+        want = {j: -s for s, _, j in every[:5]}
+        assert got.get(i, {}).keys() == want.keys()
+        assert all(abs(got[i][j] - s) < 1.1e-4 for j, s in want.items())  # halves round either way
+
+
+# ---- tax returns
+
 GSTR = "gstr_line_id string, upload_id string, supplier_name string, gstin string, invoice_number string, invoice_date string, period string, taxable_value double, igst_amount double, cgst_amount double, sgst_amount double, total_tax double, invoice_value double, row_ord long"
 TAXBOOK = "books_record_id string, books_source_type string, party_name string, gstin string, invoice_number string, books_invoice_date string, books_taxable_value double, books_igst_amount double, books_cgst_amount double, books_sgst_amount double, books_tax_amount double, books_invoice_value double, row_ord long"
 ID = "29ABCDE1234F1Z7"
 
 
-def line(i, number, day, amount, name="Alpha Supplier", gstin=ID, upload="gstr-upload-1", tax=None):
-    t = amount * 0.18 if tax is None else tax
-    return (f"g{i}", upload, name, gstin, number, day, day[:7], amount, t, 0.0, 0.0, t, amount + t, i)
+def line(i, number, day, amount, name="Alpha Supplier", gstin=ID, upload="gstr-upload-1", igst=None):
+    t = round(amount * 0.18, 2) if igst is None else igst
+    return (f"g{i}", upload, name, gstin, number, day, (day or "")[:7], amount, t, 0.0, 0.0, t, amount + t, i)
+
 
+def book(i, number, day, amount, name="Alpha Supplier", gstin=ID, igst=None, cgst=0.0, sgst=0.0, total=None, source="bill"):
+    t = round(amount * 0.18, 2) if igst is None else igst
+    return (f"b{i}", source, name, gstin, number, day, amount, t, cgst, sgst, t + cgst + sgst, amount + t + cgst + sgst if total is None else total, i)
 
-def book(i, number, day, amount, name="Alpha Supplier", gstin=ID):
-    t = amount * 0.18
-    return (f"b{i}", "bill", name, gstin, number, day, amount, t, 0.0, 0.0, t, amount + t, i)
+
+def match(spark, g, b, period=False, **kw):
+    return tax_matching.reconcile(spark.createDataFrame(g, GSTR), spark.createDataFrame(b, TAXBOOK), period=period, **kw)
 
 
 def test_tax_return_example(spark):
     g = [line(0, "INV-1001", "2026-05-01", 100000.0), line(1, "INV-1002", "2026-05-02", 50000.0), line(2, "INV-1002", "2026-05-02", 50000.0), line(3, "INV/1004", "2026-05-04", 20000.0), line(4, "INV-1003", "2026-05-03", 30000.0), line(5, "P4-5001", "2026-05-06", 15000.0), line(6, "NOBOOK-1", "2026-05-07", 7000.0, name="Other Trader"), line(7, "OLD-1", "2026-04-01", 999.0, upload="historical-upload")]
     b = [book(0, "INV-1001", "2026-05-01", 100000.0), book(1, "INV-1002", "2026-05-02", 55000.0), book(2, "INV-9999", "2026-05-05", 25000.0, gstin="27PQRSX5678L1Z2"), book(3, "INV-9999", "2026-05-05", 25000.0, gstin="27PQRSX5678L1Z2"), book(4, "INV-1004", "2026-05-04", 20000.0), book(5, "INV-1003", "2026-05-05", 30000.0), book(6, "ALT-5001", "2026-05-07", 15000.0), book(7, "OUT-2026", "2026-06-15", 80000.0)]
-    out = tax_matching.reconcile(spark.createDataFrame(g, GSTR), spark.createDataFrame(b, TAXBOOK), "gstr-upload-1").collect()
-    by = {(r["g_invoice_number"] or r["b_invoice_number"]): r for r in out}
+    res = match(spark, g, b, period=True, upload_id="gstr-upload-1")
+    out = res.collect()
+    by = {r["invoice_number"]: r for r in out}
     assert len(out) == 7
-    assert (by["INV-1001"]["level"], by["INV-1001"]["match_confidence"]) == ("P1_EXACT", 1.0)
-    assert (by["INV-1002"]["match_status"], by["INV-1002"]["match_confidence"]) == ("amount_mismatch", 0.85)
-    assert (by["INV-1003"]["level"], by["INV-1003"]["match_status"]) == ("P1_EXACT", "matched")
-    assert by["P4-5001"]["match_status"] == "possible_match"
-    assert by["NOBOOK-1"]["match_status"] == "missing_in_books"
-    assert by["INV-9999"]["match_status"] == "missing_in_gstr"
+    state = lambda n: (by[n]["match_level"], by[n]["match_status"], by[n]["confidence_score"])
+    assert state("INV-1001") == ("P1_EXACT", "matched", 1.0)
+    assert state("INV-1002") == ("P1_EXACT", "amount_mismatch", 0.85)
+    assert state("INV-1003") == ("P1_EXACT", "matched", 1.0)
+    assert state("INV/1004") == ("P3_FORMAT", "matched", 0.88)
+    assert state("P4-5001") == ("P5_AMOUNT_DATE_CANDIDATE", "possible_match", 0.50)
+    assert state("NOBOOK-1") == ("P5_MISSING_IN_BOOKS", "missing_in_books", 0.0)
+    assert state("INV-9999") == ("P6_MISSING_IN_GSTR", "missing_in_gstr", 0.0)
+    assert "invoice date matched" in by["INV-1002"]["match_reason"] and "differ by INR 5900.00" in by["INV-1002"]["match_reason"]
+    assert "nearby date" in by["INV-1003"]["match_reason"]
+    assert by["INV/1004"]["match_reason"] == "Invoice number matched after removing spaces and separators; date and values are within tolerance."
+    assert "supplier name similarity" in by["P4-5001"]["match_reason"]
+    assert "Confirm manually before marking as matched" in by["P4-5001"]["action_required"]
+    assert by["INV-1002"]["gstr_duplicate_count"] == 2 and by["INV-1002"]["gstr_raw_ids"] == "g1; g2"
+    assert by["NOBOOK-1"]["action_required"] == "Not found in Bills. Check Expenses or card transactions."
+    assert all(len(r["ai_summary"].split()) >= 8 for r in out if r["match_status"] != "matched")
+    assert set(tax_matching.AUDIT_COLUMNS) - set(res.columns) == {"gemini_suggestion", "gemini_confidence", "gemini_reason", "gemini_recommendation", "gemini_candidate_id", "selected_upload_id", "selected_file_name", "reconciliation_timestamp", "selected_upload_min_date", "selected_upload_max_date", "books_rows_before_period_filter", "books_rows_after_period_filter"}
+    s = tax_matching.summary(res, 7).first().asDict()
+    assert {k: s[k] for k in tax_matching.STATUSES} == {"matched": 3, "amount_mismatch": 1, "tax_component_mismatch": 0, "possible_match": 1, "missing_in_books": 1, "missing_in_gstr": 1}
+    first = [r["match_status"] for r in tax_matching.for_review(res).collect()]
+    assert first == sorted(first, key=tax_matching.ORDER.index)
+
+
+@pytest.mark.parametrize(
+    "books_number, gstr_number, status, level, confidence, reason",
+    [
+        ("#20702", "20702", "matched", "P3_FORMAT", 0.88, "Invoice exists in GSTR with different invoice number format"),
+        ("014", "INV-PS-2526-014", "matched", "P4_INVOICE_TOKEN", 0.90, "Matched using invoice format normalization; GSTIN, date, taxable value, and invoice value match."),
+        ("17", "25-26/12/HSD17", "possible_match", "P4_INVOICE_TOKEN", 0.60, "Invoice exists in GSTR with prefix/suffix difference"),
+        ("0354", "M1/25-26/0354", "possible_match", "P4_INVOICE_TOKEN", 0.60, "Invoice exists in GSTR with prefix/suffix difference"),
+        ("#016", "2025-26/016", "possible_match", "P4_INVOICE_TOKEN", 0.60, "Invoice exists in GSTR with prefix/suffix difference"),
+        ("STPL/37/2025-26", "STPL/037/2025-26", "possible_match", "P4_INVOICE_TOKEN", 0.60, "Invoice exists in GSTR with leading zero difference"),
+        ("#2271", "WT/25-26/2271", "matched", "P4_INVOICE_TOKEN", 0.90, "Matched using invoice format normalization; GSTIN, date, taxable value, and invoice value match."),
+        ("INV 77", " inv  77 ", "matched", "P1_EXACT", 1.0, "Invoice found in Zoho/books and selected GSTR with same GSTIN, invoice number, nearby date, and values within tolerance."),
+        ("INV-77", "INV/77", "matched", "P3_FORMAT", 0.88, "Invoice number matched after removing spaces and separators; date and values are within tolerance."),
+        ("7", "HSD17", "possible_match", "P4_INVOICE_TOKEN", 0.60, "Invoice exists in GSTR with prefix/suffix difference"),
+    ],
+)
+def test_invoice_formats(spark, books_number, gstr_number, status, level, confidence, reason):
+    (row,) = match(spark, [line(0, gstr_number, "2026-05-01", 1000.0)], [book(0, books_number, "2026-05-01", 1000.0)]).collect()
+    assert (row["match_status"], row["match_level"], row["confidence_score"], row["match_reason"]) == (status, level, confidence, reason)
+
+
+def test_digits_under_other_letters_are_no_evidence(spark):
+    rows = match(spark, [line(0, "ABC-777", "2026-05-01", 9000.0)], [book(0, "XYZ-777", "2026-05-01", 123.0, name="Nobody Else")]).collect()
+    assert sorted(r["match_status"] for r in rows) == ["missing_in_books", "missing_in_gstr"]
+
+
+@pytest.mark.parametrize("books_number, gstr_number, gstr_day", [("#6935", "TIO26HR100568684", "2026-05-01"), ("JULY", "TIO26HR100789563", "2026-05-04")])
+def test_misread_gstin(spark, books_number, gstr_number, gstr_day):
+    (row,) = match(spark, [line(0, gstr_number, gstr_day, 1000.0, name="Micro India")], [book(0, books_number, "2026-05-01", 1000.0, name="Micro India", gstin="29ABCDEI234F1Z7")]).collect()
+    assert (row["match_level"], row["match_reason"], row["action_required"]) == ("P5_AMOUNT_DATE_CANDIDATE", "Possible match; GSTIN differs, possible manual typo.", "Check vendor GSTIN in Zoho/books.")
+
+
+def test_other_gstin_is_weak(spark):
+    (row,) = match(spark, [line(0, "INV-77", "2026-05-01", 1000.0, gstin="27PQRSX5678L1Z2")], [book(0, "INV-77", "2026-05-01", 1000.0)]).collect()
+    assert (row["match_level"], row["confidence_score"], row["action_required"]) == ("P4_WEAK_INVOICE", 0.62, "Check GSTIN difference; Confirm manually before marking as matched")
 
 
 def test_unknown_tax_is_not_zero(spark):
-    g = spark.createDataFrame([("g", "u", "A", ID, "X-1", "2026-05-01", "2026-05", 100.0, None, None, None, None, None, 0)], GSTR)
-    b = spark.createDataFrame([book(0, "X-1", "2026-05-01", 100.0, name="A")], TAXBOOK)
-    (row,) = tax_matching.reconcile(g, b).collect()
-    assert row["match_status"] == "amount_mismatch" and "missing" in row["match_reason"]
+    g = [("g", "u", "A", ID, "X-1", "2026-05-01", "2026-05", 1000.0, 0.0, 0.0, 0.0, 0.0, 1000.0, 0)]
+    b = [("b", "bill", "A", ID, "X-1", "2026-05-01", 1000.0, None, None, None, None, 1000.0, 0)]
+    (row,) = match(spark, g, b).collect()
+    assert (row["match_level"], row["match_status"]) == ("P1_EXACT", "amount_mismatch") and "missing" in row["match_reason"]
+
+
+def test_tax_type(spark):
+    (row,) = match(spark, [line(0, "INV-1", "2026-05-01", 1000.0)], [book(0, "INV-1", "2026-05-01", 1000.0, igst=0.0, cgst=90.0, sgst=90.0)]).collect()
+    assert (row["match_status"], row["status_label"], row["confidence_score"], row["action_required"]) == ("tax_component_mismatch", "Tax Type Mismatch", 0.86, "Check place of supply and GST tax treatment in Zoho/books.")
+
+
+@pytest.mark.parametrize("number, taxable, igst, total, right", [("INV-PS-2526-017", 119340.0, 21481.2, 128887.2, 140821.2), ("INV-PS-2526-022", 34425.0, 6196.5, 37179.0, 40621.5)])
+def test_calculated_value(spark, number, taxable, igst, total, right):
+    (row,) = match(spark, [line(0, number, "2026-05-01", taxable, igst=igst)], [book(0, number, "2026-05-01", taxable, igst=igst, total=total)]).collect()
+    assert (row["match_status"], row["zoho_invoice_value"], row["raw_invoice_value"], row["invoice_value_source"]) == ("matched", right, total, "calculated_from_tax_components")
+    assert row["match_reason"] == "Matched using calculated books invoice value from taxable + GST components"
+
+
+def test_sources_that_were_searched(spark):
+    b = [book(0, "OTHER-BILL", "2026-05-01", 2500.0, name="Z"), book(1, "OTHER-EXP", "2026-05-01", 2700.0, name="Z", source="expense")]
+    rows = match(spark, [line(0, "GSTR-ONLY", "2026-05-01", 1000.0)], b).where("match_status = 'missing_in_books'").collect()
+    assert [r["action_required"] for r in rows] == ["Not found in any synced books source. Record may need to be entered in Zoho."]
+
+
+# ---- the ladder and the safeguards as loops over all pairs
+
+
+def _keys(number):
+    key = " ".join(number.upper().split())
+    for c in "/-_.":
+        key = c.join(x.strip() for x in key.split(c))
+    bare = key.lstrip("#").strip()
+    compact = "".join(c for c in key if c not in " /-._\\#")
+    letters = "".join(c for c in compact if not c.isdigit())
+    body = bare[:-8] if len(bare) >= 8 and bare[-8] in "/-_.\\" and bare[-7:-5] == "20" and bare[-7:-3].isdigit() and bare[-3] == "-" and bare[-2:].isdigit() else bare
+    runs = "".join(c if c.isdigit() else " " for c in body).split()
+    token = runs[-1] if runs else ""
+    return {"key": key, "bare": bare, "compact": compact, "letters": letters, "token": token, "n": int(token) if token else None}
+
+
+def _evidence(g, b):
+    if not g["token"] or not b["token"]:
+        return False
+    ends = bool(g["compact"]) and bool(b["compact"]) and (g["compact"].endswith(b["compact"]) or b["compact"].endswith(g["compact"]))
+    bare = g["compact"] == g["token"] or b["compact"] == b["token"]
+    return (ends or g["n"] == b["n"]) and (bare or (g["letters"] != "" and g["letters"] == b["letters"]))
+
+
+def _record(r, g):
+    d = dict(_keys(r[4] if g else r[4]), id=r[0], gstin=r[3], name=" ".join((r[2]).upper().split()), day=date.fromisoformat(r[5]) if r[5] else None)
+    money = r[7:11] if g else r[6:10]
+    d["money"], d["tax"], d["value"] = money, (r[11] if g else r[10]), (r[12] if g else r[11])
+    return d
+
+
+def _gap(g, b):
+    days = abs((g["day"] - b["day"]).days) if g["day"] and b["day"] else 10**6
+    amount = round(max(abs(x - y) for x, y in zip((*g["money"], g["value"]), (*b["money"], b["value"]))), 2)
+    return days, amount
+
+
+def _alike(g, b):
+    return not g["name"] or not b["name"] or SequenceMatcher(None, g["name"], b["name"]).ratio() >= 0.82
+
+
+def _place(g, b):
+    """(level, days, amount) of a pair, or None."""
+    days, amount = _gap(g, b)
+    near = days <= 7 or days == 10**6
+    same = g["gstin"] == b["gstin"] != ""
+    if same and g["key"] == b["key"] != "":
+        return (0, 0, amount) if near else (1, days, amount)
+    if g["compact"] == b["compact"] != "":
+        return (2, days, amount) if near and ("" in (g["gstin"], b["gstin"]) or same) else (3, days, amount)
+    if same and near and _evidence(g, b):
+        return (4, days, amount)
+    gap = round(abs(g["value"] - b["value"]), 2)
+    return (5, days, gap) if gap <= 1 and days <= 7 and _alike(g, b) else None
+
+
+def _rule(g, b):
+    days, amount = _gap(g, b)
+    same, close, named = g["gstin"] == b["gstin"] != "", days <= 7, b["name"] != "" and _alike(g, b)
+    value = round(abs(g["value"] - b["value"]), 2) <= 1
+    tests = [same and g["key"] == b["key"] != "", same and g["compact"] == b["compact"] != "", same and g["key"] == b["bare"] != "", same and _evidence(g, b), close and named and _evidence(g, b), g["key"] == b["key"] != "", g["compact"] == b["compact"] != "", value and close, value and not close and named]
+    return (tests.index(True), days, amount) if True in tests else None
+
+
+def tax_in_order(lines, records):
+    g, b = [_record(r, True) for r in lines], [_record(r, False) for r in records]
+    used, out = set(), set()
+    for x in g:
+        found = sorted((p, j) for j, y in enumerate(b) if j not in used and (p := _place(x, y)))
+        if found:
+            used.add(found[0][1])
+            out.add((x["id"], b[found[0][1]]["id"], tax_matching.LEVELS[found[0][0][0]]))
+        else:
+            out.add((x["id"], "", "P5_MISSING_IN_BOOKS"))
+    for j, y in enumerate(b):
+        if j not in used:
+            found = sorted((p, i) for i, x in enumerate(g) if (p := _rule(x, y)))
+            out.add((g[found[0][1]]["id"], y["id"], tax_matching.SAFEGUARDS[found[0][0][0]][0]) if found else ("", y["id"], "P6_MISSING_IN_GSTR"))
+    return out
 
 
-def test_typo_in_gstin(spark):
-    g = spark.createDataFrame([line(0, "Q-77", "2026-05-01", 4000.0, gstin="29ABCDEI234F1Z7")], GSTR)
-    b = spark.createDataFrame([book(0, "ZZ", "2026-05-02", 4000.0)], TAXBOOK)
-    (row,) = tax_matching.reconcile(g, b, period=False).collect()
-    assert row["level"] == "P5_AMOUNT_DATE_CANDIDATE" and "possible manual typo" in row["match_reason"]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tax_equals_choosing_in_order(spark, seed):
+    rng = random.Random(seed)
+    numbers = ["INV-7", "INV/7", "#7", "007", "17", "A17", "B-17", "2025-26/017", "17/2025-26", "X", "HSD117", "INV 7", "#INV-7", "7-1"]
+    names = ["Alpha Supplier", "Alpha Suppliers", "Beta", "", "Gamma Trading House"]
+    day = lambda: rng.choice([None, *[f"2026-05-{d:02d}" for d in (1, 4, 9, 20)]])
+    ids = ["G1", "G2", "", "GI"]
+    lines = [line(i, rng.choice(numbers), day(), float(rng.choice([100, 100.5, 250, 900])), rng.choice(names), rng.choice(ids), igst=float(rng.choice([0, 9]) + i / 1000)) for i in range(70)]
+    records = [book(i, rng.choice(numbers), day(), float(rng.choice([100, 100.5, 250, 901])), rng.choice(names), rng.choice(ids), igst=float(rng.choice([0, 9]) + 0.5 + i / 1000)) for i in range(70)]
+    lines = [tuple(round(x, 2) if isinstance(x, float) else x for x in r) for r in lines]
+    records = [tuple(round(x, 2) if isinstance(x, float) else x for x in r) for r in records]
+    got = {(r["gstr_line_id"], r["books_record_id"], r["match_level"]) for r in match(spark, lines, records).collect()}
+    # equal rows are one row of the engine: the loop gets the first of each
+    seen, first = set(), lambda rows, cut: [r for r in rows if (k := (r[3], _keys(r[4])["key"], r[5], *r[cut : cut + 4])) not in seen and not seen.add(k)]
+    lines, _ = first(lines, 7), seen.clear()
+    records = first(records, 6)
+    assert got == tax_in_order(lines, records)
 
 
 def test_greedy_equals_the_sequential_loop(spark):
@@ -99,14 +368,16 @@ def test_greedy_equals_the_sequential_loop(spark):
                 want.add((a, b))
                 break
     df = spark.createDataFrame([(a, b, r, a) for a, b, r in edges], "l long, r long, rank long, ord long")
-    for few in (0, 10**6):
-        got = {(x["l"], x["r"]) for x in greedy(df, "l", "r", "ord", ["rank"], few).collect()}
+    for rows in (25, 10**6):
+        got = {(x["l"], x["r"]) for x in greedy(df, "l", "r", "ord", ["rank"], rows=rows).collect()}
         assert got == want
 
 
-def test_assignment_is_one_to_one(spark, data):
+def test_assignment_is_one_to_one_over_whole_tables(spark, data):
     from ledgerloom.sources import bridge
 
-    out = bank_matching.reconcile(bridge.bank_lines(spark, data, 20), bridge.accounting_lines(spark, data, 20))
-    pairs = out.where(F.col("accounting_record_id").isNotNull() & F.col("bank_line_id").isNotNull())
+    out = bank_matching.reconcile(bridge.bank_lines(spark, data), bridge.accounting_lines(spark, data))
+    pairs = out.where("match_status IN ('matched', 'possible_match')")
+    n = bridge.bank_lines(spark, data).count()
     assert pairs.count() == pairs.select("accounting_record_id").distinct().count() == pairs.select("bank_line_id").distinct().count()
+    assert out.where("bank_line_id != ''").count() == n and out.where("accounting_record_id != ''").count() == n

@@ -35,7 +35,7 @@ def test_period_month(spark, raw, want):
 
 
 def test_invoice_texts(spark):
-    assert one(spark, text.numeric_token, "STPL/037/2025-26") == "37"
+    assert one(spark, text.numeric_token, "STPL/037/2025-26") == "037"
     assert one(spark, text.without_hash, "#20702") == "20702"
     assert one(spark, text.gstin_key, " 29abc​de ") == "29ABCDE"
     assert one(spark, text.cell_guard, "=1+1") == "'=1+1"
@@ -140,9 +140,51 @@ def test_line_costs(spark):
 
 
 def test_balance_sheet_takes_latest(spark):
-    s = spark.createDataFrame([(dt.date(2025, 3, 31), 10.0, 5.0), (dt.date(2026, 3, 31), 99.0, 99.0)], "as_of_date date, `Bank Cash` double, Payables double")
+    s = spark.createDataFrame([(dt.date(2025, 3, 31), 10.0, 5.0, None), (dt.date(2026, 3, 31), 99.0, 99.0, 1.0)], "as_of_date date, bank_cash double, payables_amount double, equity_amount double")
     out = {r["line"]: r["amount"] for r in consolidated.balance_sheet(s, dt.date(2025, 12, 31)).collect()}
-    assert (out["bank_cash"], out["payables"], out["receivables"]) == (10.0, 5.0, 0.0)
+    assert out == {"bank_cash": 10.0, "payables": 5.0, "receivables": None, "other_assets": None, "tax_liabilities": None, "equity_retained_earnings": None}
+    long = spark.createDataFrame([("Accounts Receivable", 7.0), ("receivables", 1.0), ("Cash", 3.0), ("Goodwill", 9.0)], "line_item string, amount_inr double")
+    out = {r["line"]: r["amount"] for r in consolidated.balance_sheet(long, dt.date(2025, 12, 31)).collect()}
+    assert (out["receivables"], out["bank_cash"], out["payables"]) == (8.0, 3.0, None)
+
+
+@pytest.mark.parametrize("kind, aliases", [("bank", sheets.BANK), ("gstr", sheets.GSTR)])
+def test_every_spelling_of_a_column_is_known(spark, kind, aliases):
+    known = {sheets.alias_key(a): n for n, names in aliases.items() for a in names}
+    assert len(known) == len({(sheets.alias_key(a), n) for n, names in aliases.items() for a in names})  # no spelling means two columns
+    base = {"bank": ["txn date", "details", "amount"], "gstr": ["invoice no", "gstin", "txval"]}[kind]
+    for n, names in aliases.items():
+        head = [a for a in base if known[sheets.alias_key(a)] != n] + [names[-1]]
+        b = sheets.body(sheets.from_rows(spark, {"s": [head, ["x"] * len(base) + ["v"]]}), kind)
+        assert b.first()[n] in ("v", "x")
+
+
+def test_uploads_are_saved_registered_and_deleted(spark, tmp_path):
+    lines, reg = str(tmp_path / "lines"), str(tmp_path / "registry")
+    rows = ingest.bank_upload(spark.createDataFrame([("2025-04-01", "a"), ("2025-04-01", "a"), ("2025-04-02", "b")], "transaction_date string, narration string"), "u1")
+    again = ingest.bank_upload(spark.createDataFrame([("2025-04-02", "b"), ("2025-04-01", "a"), ("2025-04-01", "a")], "transaction_date string, narration string").repartition(3), "u1")
+    ids = lambda df: sorted(r[0] for r in df.select("bank_line_id").collect())
+    assert ids(rows) == ids(again) and len(set(ids(rows))) == 3
+    for u in ("u1", "u2"):
+        assert ingest.save_upload(rows, lines, reg, u, "bank_statement", "f.csv", "2025-05-01 00:00:00") == 3
+    ingest.save_upload(rows.limit(2), lines, reg, "u1", "bank_statement", "f.csv", "2025-05-02 00:00:00")
+    stored = ingest.read_uploads(spark, lines, schemas.BANK_LINES)
+    assert {r["upload_id"]: r["count"] for r in stored.groupBy("upload_id").count().collect()} == {"u1": 2, "u2": 3}
+    assert ingest.delete_upload(spark, lines, reg, "u1", "bank_statement", "f.csv", "2025-05-03 00:00:00")
+    assert not ingest.delete_upload(spark, lines, reg, "u1", "bank_statement", "f.csv", "2025-05-04 00:00:00")
+    registry = spark.read.schema(schemas.UPLOADS).parquet(reg)
+    assert ingest.read_uploads(spark, lines, schemas.BANK_LINES).count() == 3 and registry.count() == 5
+    (last,) = ingest.latest_upload(registry, "bank_statement", "u1").collect()
+    assert last["parse_status"] == "deleted"
+    with pytest.raises(Exception):
+        ingest.save_upload(spark.range(1).select(F.expr("raise_error('x')").alias("y")), lines, reg, "u3", "gstr", "g.csv", "2025-05-03 00:00:00")
+    assert spark.read.schema(schemas.UPLOADS).parquet(reg).where("upload_id = 'u3' AND parse_status = 'failed'").count() == 1
+
+
+def test_reports_guard_formulas(spark, tmp_path):
+    ingest.save_report({"Run Metadata": spark.createDataFrame([("=1+1", 1)], "t string, n int")}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "run_metadata")).first()["t"] == "'=1+1"
+    assert ingest.snake_case(spark.range(1).toDF(" Txn Date (x)")).columns == ["txn_date_x"]
 
 
 def test_stream_keeps_latest(spark, data, tmp_path):
