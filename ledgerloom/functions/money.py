@@ -48,8 +48,10 @@ def statement_amount(c: Column) -> Column:
 
 
 def short_inr(c: Column) -> Column:
+    """``INR 1.25 Cr``, ``INR 3.40 L`` or whole rupees."""
     a = F.abs(c)
-    return F.when(a >= 1e7, F.concat(F.format_number(c / 1e7, 2), F.lit(" Cr"))).when(a >= 1e5, F.concat(F.format_number(c / 1e5, 2), F.lit(" L"))).otherwise(F.format_number(c, 2))
+    big = lambda unit, name: F.concat(F.lit("INR "), F.format_string("%.2f", c / unit), F.lit(name))
+    return F.when(a >= 1e7, big(1e7, " Cr")).when(a >= 1e5, big(1e5, " L")).otherwise(F.concat(F.lit("INR "), F.format_number(c, 0)))
 
 
 def sum_known(*parts: Column, require_all: bool = False) -> Column:

@@ -93,6 +93,19 @@ def reindex(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(label) for c, label in labels.items()])
 
 
+#: Spellings of organisation filters (fixed values); anything else is all organisations.
+ORGANISATIONS = {"india": "india", "in": "india", "us": "us", "u.s.": "us", "usa": "us", "u.s.a": "us"}
+
+
+def organisation(name: str | None) -> str:
+    return ORGANISATIONS.get((name or "").strip().lower(), "all")
+
+
+def only(df: DataFrame, column: str, values: list[str] | None) -> DataFrame:
+    """Rows whose value is one of these, in any case; no values: all rows."""
+    return df if not values else df.where(F.lower(F.trim(column)).isin(*[v.strip().lower() for v in values]))
+
+
 def where_given(df: DataFrame, **tests: Column | None) -> DataFrame:
     """Filters for the arguments that were given; Catalyst pushes them down."""
     for test in tests.values():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import json as J
-from ledgerloom.functions.money import REPORT_USD, report_inr
+from ledgerloom.functions.money import REPORT_USD, report_inr, short_inr
 from ledgerloom.operators.relational import latest
 from ledgerloom.plans.periods import Period, month_spine
 from ledgerloom.plans.rules import Rule, classify
@@ -80,23 +81,95 @@ def wide(m: DataFrame, period: Period) -> DataFrame:
     return m.withColumn("label", F.date_format("report_month", "MMM-yy")).groupBy("category").pivot("label", labels).agg(F.round(F.sum("amount"), 2))
 
 
-# fixed values of the cost model: consultant per month in USD, technology per month, share after the split begins
-CONSULTANT_USD, TECHNOLOGY, SPLIT = 12_500.0, 25_800.0, 0.5
+@dataclass(frozen=True)
+class CostModel:
+    """Fixed values of the cost model: the consultant's fee a month in USD and its share in COGS from ``split_from`` on, technology a month."""
+
+    consultant_usd: float = 12_500.0
+    technology: float = 25_800.0
+    rate: float = REPORT_USD
+    split: float = 0.5
+    split_from: date = date(2025, 9, 1)
+
+    def consultant(self) -> float:
+        return round(self.consultant_usd * self.rate, 2)
+
+
+#: Line item -> label of the monthly sheet, in order (fixed values).
+LABELS = {
+    "services_revenue": "Client Revenue - Professional Services", "product_revenue": "Client Revenue - Product", "other_income": "Other Income", "offshore_cogs": "Offshore COGS", "onshore_cogs": "Onshore COGS", "technology_costs": "Technology Costs", "cogs_total": "COGS Total",
+    "consultant_sm": "Onshore Consultant Experience", "advertising_marketing": "Advertising & Marketing", "travel_expenses": "Travel Expenses", "meals_entertainment": "Meals & Entertainment", "rd_salaries": "R&D Salaries", "consultant_expense": "Consultant & Contractor Expense",
+    "software_subscriptions": "Software Subs", "rent": "Office Rent", "it_internet": "IT & Internet", "legal": "Legal", "audit_non_operating": "Audit & Non-Op", "other_ga": "Other G&A",
+}
+REVENUE = ["services_revenue", "product_revenue", "other_income"]
+DERIVED = ["offshore_cogs", "onshore_cogs", "technology_costs", "cogs_total", "consultant_sm", "other_ga"]
+EXPENSES = [k for k in LABELS if k not in (*REVENUE, "offshore_cogs", "onshore_cogs", "technology_costs")]
+
+
+def cogs_detail(candidates: DataFrame, rows: list[Rule], period: Period, model: CostModel = CostModel()) -> DataFrame:
+    """(category, report_month, amount): the delivery rows that rules find in bills and journals, the consultant's share and the technology costs."""
+    found = matrix(candidates.where(F.col("source_type").isin("bill", "journal")), rows, period)
+    months = month_spine(candidates.sparkSession, period).select("report_month")
+    share = F.when(F.col("report_month") >= F.lit(model.split_from), F.lit(round(model.consultant() * model.split, 2))).otherwise(F.lit(0.0))
+    fixed = months.select(F.explode(F.array(F.struct(F.lit("consultant").alias("category"), share.alias("amount")), F.struct(F.lit("technology_costs").alias("category"), F.lit(round(model.technology, 2)).alias("amount")))).alias("x"), "report_month")
+    return found.unionByName(fixed.select("x.category", "report_month", "x.amount"))
+
+
+def line_items(m: DataFrame, detail: DataFrame, offshore: list[str], onshore: list[str], delivery: list[str], groups: dict[str, list[str]], model: CostModel = CostModel()) -> DataFrame:
+    """One row a month: revenue and expense lines from the matrix (``groups``: line -> categories), cost of delivery from
+    ``detail`` (categories ``offshore`` and ``onshore``), and what remains of the ``delivery`` categories as other G&A, not below 0."""
+    total = lambda names: F.round(F.coalesce(F.sum(F.when(F.col("category").isin(*names), F.col("amount"))), F.lit(0.0)), 2) if names else F.lit(0.0)
+    own = m.groupBy("report_month").agg(*[total(groups.get(k, [])).alias(k) for k in LABELS if k not in DERIVED], total(delivery).alias("delivery"))
+    cost = detail.groupBy("report_month").agg(total(offshore).alias("offshore_cogs"), total([*onshore, "consultant"]).alias("onshore_cogs"), total(["technology_costs"]).alias("technology_costs"))
+    d = own.join(F.broadcast(cost), "report_month")  # a row per month of the report
+    fee = model.consultant()
+    d = d.withColumns({
+        "cogs_total": F.round(F.col("offshore_cogs") + F.col("onshore_cogs") + F.col("technology_costs"), 2),
+        "consultant_sm": F.when(F.col("report_month") < F.lit(model.split_from), F.lit(fee)).otherwise(F.lit(round(fee * model.split, 2))),
+        "other_ga": F.greatest(F.lit(0.0), F.round(F.col("delivery") - F.col("offshore_cogs"), 2)),
+    })
+    plus = lambda names: sum((F.col(c) for c in names), F.lit(0.0))
+    d = d.withColumns({"total_revenue": F.round(plus(REVENUE), 2), "total_expenses": F.round(plus(EXPENSES), 2)})
+    d = d.withColumns({"gross_profit": F.round(F.col("total_revenue") - F.col("cogs_total"), 2), "operating_profit": F.round(F.col("total_revenue") - F.col("total_expenses"), 2)})
+    return d.select("report_month", *LABELS, "total_revenue", "total_expenses", "gross_profit", "operating_profit", F.try_divide("gross_profit", "total_revenue").alias("gross_margin"))
+
+
+def _long(d: DataFrame) -> DataFrame:
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(LABELS) for x in (k, i)])
+    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return d.unpivot(["report_month"], list(LABELS), "item", "amount").withColumns({"row_ord": order[F.col("item")], "Line Item": label[F.col("item")]})
+
+
+def monthly_sheet(d: DataFrame, period: Period) -> DataFrame:
+    """The line items in order, a column per month."""
+    labels = [x.strftime("%b-%y") for x in period.months]
+    return _long(d).withColumn("m", F.date_format("report_month", "MMM-yy")).groupBy("row_ord", "Line Item").pivot("m", labels).agg(F.round(F.sum("amount"), 2)).orderBy("row_ord").drop("row_ord")
 
 
-def line_items(m: DataFrame, split_from: date, consultant_from: date, groups: dict[str, list[str]]) -> DataFrame:
-    """Derived lines by month: revenue, offshore, onshore and technology costs, other G&A (not below 0), totals and margins.
+def quarterly_sheet(d: DataFrame) -> DataFrame:
+    """(Line Item, quarter, amount, share of the quarter's revenue), quarters of the April-to-March year."""
+    quarter = F.concat(F.lit("Q"), (F.floor(F.pmod(F.month("report_month") - 4, F.lit(12)) / 3) + 1).cast("string"))
+    q = _long(d).withColumn("quarter", quarter).groupBy("row_ord", "item", "Line Item", "quarter").agg(F.round(F.sum("amount"), 2).alias("amount"))
+    revenue = F.sum(F.when(F.col("item").isin(*REVENUE), F.col("amount"))).over(W.partitionBy("quarter"))  # nineteen rows a quarter
+    return q.withColumn("revenue_share", F.try_divide("amount", revenue)).orderBy("row_ord", "quarter").select("Line Item", "quarter", "amount", "revenue_share")
 
-    ``groups``: categories of each base line (revenue, other_income, offshore, onshore, sales, expenses).
-    """
-    base = m.groupBy("report_month").agg(*[F.coalesce(F.sum(F.when(F.col("category").isin(*v), F.col("amount"))), F.lit(0.0)).alias(k) for k, v in groups.items()])
-    paid = F.when(F.col("report_month") >= F.lit(consultant_from), F.lit(CONSULTANT_USD * REPORT_USD)).otherwise(F.lit(0.0))
-    share = F.when(F.col("report_month") >= F.lit(split_from), F.lit(SPLIT)).otherwise(F.lit(0.0))
-    d = base.withColumns({"onshore_cogs": F.col("onshore") + paid * share, "offshore_cogs": F.col("offshore"), "sales_marketing": F.col("sales") + paid * (1 - share), "technology_cogs": F.lit(TECHNOLOGY)})
-    d = d.withColumns({"total_revenue": F.col("revenue") + F.col("other_income"), "total_cogs": F.col("onshore_cogs") + F.col("offshore_cogs") + F.col("technology_cogs")})
-    d = d.withColumn("other_ga", F.greatest(F.lit(0.0), F.col("expenses") - F.col("total_cogs") - F.col("sales_marketing")))
-    d = d.withColumn("gross_profit", F.col("total_revenue") - F.col("total_cogs")).withColumn("operating_profit", F.col("gross_profit") - F.col("sales_marketing") - F.col("other_ga"))
-    return d.withColumn("gross_margin", F.try_divide("gross_profit", "total_revenue"))
+
+def metrics(d: DataFrame) -> DataFrame:
+    """(metric, value, shown): revenue, expenses, profit and gross profit of the report's months."""
+    s = d.agg(*[F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2).alias(c) for c in ("total_revenue", "total_expenses", "operating_profit", "gross_profit")])
+    return s.toDF("Revenue", "Expenses", "Profit", "Gross Profit").unpivot([], ["Revenue", "Expenses", "Profit", "Gross Profit"], "metric", "value").withColumn("shown", short_inr(F.col("value")))
+
+
+def report(raw: DataFrame, rules: list[Rule], cogs_rules: list[Rule], period: Period, offshore: list[str], onshore: list[str], delivery: list[str], groups: dict[str, list[str]], model: CostModel = CostModel(), stage=None) -> dict[str, DataFrame]:
+    """The sheets of the management report. ``stage``: called with a message at the start of each part."""
+    say = stage or (lambda message: None)
+    say("Reading documents")
+    found = all_details(raw, period)
+    say("Classifying amounts")
+    m, detail = matrix(found, rules, period), cogs_detail(found, cogs_rules, period, model)
+    say("Deriving line items")
+    d = line_items(m, detail, offshore, onshore, delivery, groups, model)
+    return {"Monthly P&L": monthly_sheet(d, period), "Quarterly P&L": quarterly_sheet(d), "COGS Detail": wide(detail, period), "Key Metrics": metrics(d)}
 
 
 def run_rate(d: DataFrame, column: str) -> DataFrame:

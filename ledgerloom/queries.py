@@ -518,27 +518,68 @@ def mis_category_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir).withColumn("amount", F.round("amount", 0))
 
 
-@query("mis_matrix_wide")
+@query("mis_matrix_wide", f"SELECT category, round(sum(amount) FILTER (report_month = DATE '1996-04-01'), 0) AS first_month, round(sum(amount) FILTER (report_month = DATE '1997-03-01'), 0) AS last_month FROM ({_MATRIX_SQL}) m GROUP BY 1")
 def mis_matrix_wide(spark, sf_dir):
-    return mis.wide(_matrix(spark, sf_dir), _PERIOD)
+    return mis.wide(_matrix(spark, sf_dir), _PERIOD).select("category", F.round("Apr-96", 0).alias("first_month"), F.round("Mar-97", 0).alias("last_month"))
+
+
+_MODEL = mis.CostModel(split_from=date(1996, 9, 1))
+_COGS = [rules.Rule("low", ["bill"], ["part 1", "part 2"]), rules.Rule("charges", ["journal"], ["bank charges"])]
+_GROUPS = {"services_revenue": ["services_revenue"], "other_income": ["accruals"], "legal": ["bank_costs"]}
+
+
+def _cogs(spark, sf_dir):
+    details = mis.all_details(bridge.bronze(spark, sf_dir, "invoices", "bills", "journals"), _PERIOD)
+    return mis.cogs_detail(details, _COGS, _PERIOD, _MODEL)
+
+
+_COGS_SQL = f"""
+SELECT category, report_month, amount FROM (
+  SELECT CASE category WHEN 'parts_low' THEN 'low' ELSE 'charges' END AS category, report_month, amount FROM ({_MATRIX_SQL}) m WHERE category IN ('parts_low', 'bank_costs')
+  UNION ALL SELECT 'consultant', report_month, CASE WHEN report_month >= DATE '1996-09-01' THEN 562500.0 ELSE 0 END FROM ({_MATRIX_SQL}) m WHERE category = 'parts_low'
+  UNION ALL SELECT 'technology_costs', report_month, 25800.0 FROM ({_MATRIX_SQL}) m WHERE category = 'parts_low') q"""
+
+
+@query("mis_cogs_detail", _COGS_SQL)
+def mis_cogs_detail(spark, sf_dir):
+    return _cogs(spark, sf_dir).withColumn("amount", F.round("amount", 0))
 
 
 def _items(spark, sf_dir):
-    groups = {"revenue": ["services_revenue"], "other_income": ["accruals"], "offshore": ["parts_low"], "onshore": ["bank_costs"], "sales": [], "expenses": ["parts_low", "other_cogs", "bank_costs"]}
-    return mis.line_items(_matrix(spark, sf_dir).withColumn("amount", F.round("amount", 0)), date(1996, 10, 1), date(1996, 7, 1), {k: v or [""] for k, v in groups.items()})
+    whole = lambda m: m.withColumn("amount", F.round("amount", 0))
+    return mis.line_items(whole(_matrix(spark, sf_dir)), whole(_cogs(spark, sf_dir)), ["low"], ["charges"], ["parts_low", "other_cogs"], _GROUPS, _MODEL)
+
 
+_ITEMS_SQL = f"""
+WITH m AS ({_MATRIX_SQL}), p AS (SELECT report_month, sum(amount) FILTER (category = 'services_revenue') AS rev, sum(amount) FILTER (category = 'accruals') AS inc, sum(amount) FILTER (category = 'parts_low') AS low, sum(amount) FILTER (category = 'bank_costs') AS bank, sum(amount) FILTER (category = 'other_cogs') AS other FROM m GROUP BY 1),
+q AS (SELECT *, CASE WHEN report_month >= DATE '1996-09-01' THEN 562500.0 ELSE 1125000.0 END AS sm, CASE WHEN report_month >= DATE '1996-09-01' THEN 562500.0 ELSE 0.0 END AS share FROM p),
+i AS (SELECT *, rev + inc AS total_revenue, bank + share AS onshore_cogs, low + bank + share + 25800 AS cogs_total, greatest(0.0, low + other - low) AS other_ga FROM q)"""
 
-@query("mis_line_items", f"""
-WITH m AS ({_MATRIX_SQL}), p AS (SELECT report_month, sum(amount) FILTER (category = 'services_revenue') AS rev, sum(amount) FILTER (category = 'accruals') AS inc, sum(amount) FILTER (category = 'parts_low') AS off, sum(amount) FILTER (category = 'bank_costs') AS onb, sum(amount) FILTER (category IN ('parts_low', 'other_cogs', 'bank_costs')) AS exp FROM m GROUP BY 1),
-q AS (SELECT *, CASE WHEN report_month >= DATE '1996-07-01' THEN 1125000.0 ELSE 0 END AS paid, CASE WHEN report_month >= DATE '1996-10-01' THEN 0.5 ELSE 0 END AS share FROM p)
-SELECT report_month, rev + inc AS total_revenue, off + onb + paid * share + 25800 AS total_cogs, paid * (1 - share) AS sales_marketing FROM q""")
+
+@query("mis_line_items", _ITEMS_SQL + """
+SELECT report_month, rev AS services_revenue, inc AS other_income, low AS offshore_cogs, onshore_cogs, cogs_total, sm AS consultant_sm, other_ga, total_revenue, total_revenue - cogs_total AS gross_profit, total_revenue - cogs_total - sm - bank - other_ga AS operating_profit FROM i""")
 def mis_line_items(spark, sf_dir):
-    return _items(spark, sf_dir).select("report_month", "total_revenue", "total_cogs", "sales_marketing")
+    return _items(spark, sf_dir).select("report_month", "services_revenue", "other_income", "offshore_cogs", "onshore_cogs", "cogs_total", "consultant_sm", "other_ga", "total_revenue", "gross_profit", "operating_profit")
+
+
+@query("mis_key_metrics", _ITEMS_SQL + """, t AS (SELECT sum(total_revenue) AS r, sum(cogs_total + sm + bank + other_ga) AS e, sum(cogs_total) AS c FROM i)
+SELECT unnest(['Revenue', 'Expenses', 'Profit', 'Gross Profit']) AS metric, unnest([r, e, r - e, r - c]) AS value FROM t""")
+def mis_key_metrics(spark, sf_dir):
+    return mis.metrics(_items(spark, sf_dir)).select("metric", F.round("value", 2).alias("value"))
+
+
+@query("mis_quarters", _ITEMS_SQL + """
+SELECT 'Q' || (floor(((month(report_month) - 4 + 12) % 12) / 3) + 1)::INT AS quarter, sum(total_revenue) AS revenue, sum(cogs_total) AS cogs, sum(other_ga) AS other_ga FROM i GROUP BY 1""")
+def mis_quarters(spark, sf_dir):
+    q, item = mis.quarterly_sheet(_items(spark, sf_dir)), F.col("Line Item")
+    total = lambda *keys: F.sum(F.when(item.isin(*[mis.LABELS[k] for k in keys]), F.col("amount")))
+    return q.groupBy("quarter").agg(total(*mis.REVENUE).alias("revenue"), total("cogs_total").alias("cogs"), total("other_ga").alias("other_ga"))
 
 
-@query("mis_run_rate")
+@query("mis_run_rate", _ITEMS_SQL + """
+SELECT report_month, total_revenue, round(avg(total_revenue) OVER (ORDER BY report_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS run_rate FROM i""")
 def mis_run_rate(spark, sf_dir):
-    return mis.run_rate(_items(spark, sf_dir), "total_revenue").select("report_month", "total_revenue", "run_rate", "gross_margin", "operating_profit")
+    return mis.run_rate(_items(spark, sf_dir), "total_revenue").select("report_month", "total_revenue", F.round("run_rate", 2).alias("run_rate"))
 
 
 @query("consolidated_pl", f"""

@@ -132,11 +132,27 @@ def test_mapping_problems(spark):
 
 def test_line_costs(spark):
     p = periods.select("year", "FY 2025-26")
-    m = spark.createDataFrame([("rev", dt.date(2025, 4, 1), 100000.0), ("off", dt.date(2025, 4, 1), 40000.0), ("on", dt.date(2025, 10, 1), 20000.0)], "category string, report_month date, amount double")
-    d = mis.line_items(m, dt.date(2025, 10, 1), dt.date(2025, 10, 1), {"revenue": ["rev"], "other_income": ["-"], "offshore": ["off"], "onshore": ["on"], "sales": ["-"], "expenses": ["off", "on"]})
-    by = {r["report_month"]: r for r in d.collect()}
-    assert by[dt.date(2025, 4, 1)]["technology_cogs"] == 25800 and by[dt.date(2025, 10, 1)]["onshore_cogs"] == 582500
-    assert len(p.months) == 12
+    d = lambda m: dt.date(2025, m, 1)
+    m = spark.createDataFrame([("rev", d(4), 100000.0), ("journal", d(4), 5000.0), ("delivery", d(4), 40000.0), ("delivery", d(7), 50000.0), ("rev", d(7), 50000.0), ("rev", d(10), 1.0)], "category string, report_month date, amount double")
+    rows = spark.createDataFrame([("bill", d(4), 40000.0, "team pay"), ("bill", d(7), 45000.0, "team pay"), ("journal", d(10), 20000.0, "lead pay"), ("invoice", d(10), 7.0, "lead pay")], "source_type string, report_month date, amount_inr double, all_text string")
+    rows = rows.withColumns({"line_text": F.col("all_text"), "header_text": F.col("all_text"), "account_ids": F.array().cast("array<string>"), "account_codes": F.array().cast("array<string>")})
+    detail = mis.cogs_detail(rows, [rules.Rule("team", ["bill", "journal"], ["team"]), rules.Rule("lead", ["bill", "journal"], ["lead"])], p)
+    items = mis.line_items(m, detail, ["team"], ["lead"], ["delivery"], {"services_revenue": ["rev"], "other_income": ["journal"]})
+    by = {r["report_month"]: r for r in items.collect()}
+    assert (by[d(4)]["services_revenue"], by[d(4)]["other_income"], by[d(4)]["offshore_cogs"], by[d(7)]["offshore_cogs"]) == (100000, 5000, 40000, 45000)
+    assert by[d(10)]["onshore_cogs"] == 582500 and all(r["technology_costs"] == 25800 for r in by.values())
+    assert (by[d(4)]["consultant_sm"], by[d(10)]["consultant_sm"], by[d(4)]["other_ga"], by[d(7)]["other_ga"]) == (1125000, 562500, 0, 5000)
+    sheet = mis.monthly_sheet(items, p)
+    assert [r["Line Item"] for r in sheet.collect()] == list(mis.LABELS.values()) and sheet.columns[1:] == [x.strftime("%b-%y") for x in p.months]
+    q = {(r["Line Item"], r["quarter"]): r["amount"] for r in mis.quarterly_sheet(items).collect()}
+    assert q["Offshore COGS", "Q1"] == 40000 and q["Onshore COGS", "Q3"] == 582500
+    assert {r["metric"]: r["shown"] for r in mis.metrics(items).collect()}["Revenue"] == "INR 1.55 L"
+
+
+def test_organisation_names():
+    from ledgerloom.operators.relational import organisation
+
+    assert [organisation(x) for x in ("India", "U.S.", None, "mars", " usa ")] == ["india", "us", "all", "all", "us"]
 
 
 def test_balance_sheet_takes_latest(spark):
