@@ -182,8 +182,8 @@ def _money(df: DataFrame, entity: str) -> DataFrame:
 
 
 def fact(raw: DataFrame, entity: str) -> DataFrame:
-    """Latest version of each record, amounts in both currencies."""
-    return _money(latest(_ALL[entity](raw)), entity)
+    """Latest version of each record, amounts in both currencies. Versions are ranked before any JSON is parsed."""
+    return _money(_ALL[entity](latest(raw.where(F.col("entity_name") == entity))), entity)
 
 
 def fact_history(raw: DataFrame, entity: str) -> DataFrame:
