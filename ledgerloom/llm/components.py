@@ -6,18 +6,26 @@ combined minima only, and is written to the shared folder, so lineage stays shor
 round. Nothing is collected on the driver.
 """
 
+from __future__ import annotations
+
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
+if TYPE_CHECKING:  # workers that don't need it stay smaller without it
+    import pandas as pd
+
 #: Edges that one task may join (two longs each).
 FEW = 1_000_000
 
 
 def _union(edges: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
     nodes, ends = np.unique(edges[["x", "y"]].to_numpy(np.int64), return_inverse=True)
     ends = ends.reshape(-1, 2)
     parent = list(range(len(nodes)))  # nodes ascend, so the smaller root is the smaller node
@@ -55,6 +63,8 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
 
 
 def _ends(links: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
     step = dict(zip(links["x"].tolist(), links["root"].tolist()))
     for x in list(step):
         path, at = [], x

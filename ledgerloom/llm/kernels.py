@@ -8,13 +8,16 @@ finished with a bit mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-# Workers are reused by later stages: freed batches go back to the system instead of staying in the pool.
+# Workers are reused by later stages: freed batches and large arrays go back to the system instead of staying in pools.
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(ctypes.CDLL(None), "mallopt"):  # glibc: blocks of 2 MB and more are mapped (M_MMAP_THRESHOLD), and unmapped when freed
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)
 
 CHUNK = 1 << 20
 U = np.uint64

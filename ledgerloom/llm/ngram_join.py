@@ -24,7 +24,7 @@ between different components is missed:
 Order and labels change the work only, never the result. Sets are compared by 64-bit hashes of n-grams, nodes
 are known by a 64-bit hash of their set.
 
-Null text and text without words: 0 n-grams, linked with nothing. Fewer words than ``n``: the whole sequence is
+Ids are whole numbers; others read as null. Null text and text without words: 0 n-grams, linked with nothing. Fewer words than ``n``: the whole sequence is
 the one n-gram. Rows with equal text and id are equal rows. A null doc_id never is the smallest id; a component
 of null ids only has a null id. Empty tables give empty results; other columns are ignored here and kept by
 ``keep_one``.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components, roots
 from .kernels import FOLDED, U, chunks, mix, packed, unpacked, window_hashes
-from .store import BROADCAST_ROWS, materialize
+from .store import BROADCAST_ROWS, bounded, materialize, whole_id
 from .substrings import _by_bucket, buckets_for, repeated_spots
 
 N, PERCENT = 5, 75
@@ -96,7 +96,7 @@ def _bands(tokens: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    return docs.select(whole_id(), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -427,7 +427,7 @@ def rivals(own: DataFrame, slim: DataFrame, hot: np.ndarray, n: int, percent: in
 def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, t, n_shingles, label, component_id) per row; t: hash of the text, label: the component (null without n-grams)."""
     n_buckets = buckets_for(docs)
-    texts = _texts(docs)
+    texts = _texts(bounded(docs))
     sig = signatures(texts, n)
     nodes = materialize(sig.where("n > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("k", "r.doc_id", "r.t", "n", "bands"))
     slim = nodes.drop("bands")
@@ -473,13 +473,13 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one with the smallest id (then text hash), with all columns; rows without n-grams stay."""
     groups = materialize(grouped(docs, n, percent).where("n_shingles > 0").groupBy("label", "doc_id", "t").agg(F.count(F.lit(1)).alias("c")))
     best = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("b"))
-    marked = groups.join(best, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t") == F.col("b.t")))
-    marked = materialize(marked.where("NOT stays OR c > 1").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "stays"))
+    marked = groups.join(best, "label").withColumn("__stays", F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t") == F.col("b.t")))
+    marked = materialize(marked.where("NOT __stays OR c > 1").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "__stays"))
     marked = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
-    keyed = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__x": F.xxhash64(F.col("text").cast("string"))})
-    kept = keyed.join(marked, F.col("__i").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left").where("stays IS NULL OR stays")
-    once = kept.where("stays IS NULL")
-    again = kept.where("stays").withColumn("__k", F.row_number().over(W.partitionBy("__i", "__x").orderBy("__i"))).where("__k = 1")
+    keyed = docs.withColumns({"__i": whole_id(), "__x": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(marked, F.col("__i").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left").where("__stays IS NULL OR __stays")
+    once = kept.where("__stays IS NULL")
+    again = kept.where("__stays").withColumn("__k", F.row_number().over(W.partitionBy("__i", "__x").orderBy("__i"))).where("__k = 1")
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 

@@ -14,7 +14,7 @@ cache of bounded size.
 Decoding joins the pieces' bytes and drops the one space that encoding puts in front: any text comes back
 exactly, control characters and the space mark included.
 
-Null text: null pieces, 0 of them. Empty text: no pieces. Null keys share one stream. Equal (key, text) rows
+Null text: null pieces, 0 of them. Empty text: no pieces. Null keys, and keys that are no whole numbers, share one stream. Equal (key, text) rows
 get equal pieces. Empty tables give empty results; all columns pass through ``encode`` (``pieces n_pieces``
 are replaced).
 """
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U, hash_spans, mix
+from .store import bounded, whole_id
 
 MODEL = "piece_bpe_32k.model"
 ALPHA = 0.5
 MARK = "▁"
 #: Cached units of a worker; bytes of text taken at once.
-CACHE, STRETCH = 120_000, 1 << 20
+CACHE, STRETCH = 120_000, 1 << 18
 
 
 def default_model() -> str:
@@ -300,7 +301,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str | None = None, alpha
     model = model or default_model()
     names = docs.columns
     at = names.index("text")
-    full = docs.withColumn("__key", F.col(key).cast("long"))
+    full = docs.withColumn("__key", whole_id(key))
 
     def run(batches):
         with task(model, alpha) as own:
@@ -314,7 +315,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str | None = None, alpha
                 lists = pa.ListArray.from_arrays(offs, pa.array(ids), mask=pa.array(~valid[lo:hi]))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), lists, pa.array(np.diff(bounds))], [*names, "pieces", "n_pieces"])
 
-    return full.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())]))
+    return bounded(full).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())]))
 
 
 def decode(df: DataFrame, pieces: str = "pieces", to: str = "decoded", model: str | None = None) -> DataFrame:
@@ -330,7 +331,7 @@ def decode(df: DataFrame, pieces: str = "pieces", to: str = "decoded", model: st
             texts = [own.decode(np.array(x, np.int64)).decode("utf-8") if x is not None else None for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, to])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.StringType())]))
+    return bounded(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.StringType())]))
 
 
 _DIGEST = "doc_id long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"
@@ -357,7 +358,7 @@ def digest(docs: DataFrame, model: str | None = None, alpha: float = ALPHA) -> D
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(cols, kinds))], [x.split()[0] for x in _DIGEST.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DIGEST)
+    return bounded(docs).select(whole_id(), F.col("text").cast("string")).mapInArrow(run, _DIGEST)
 
 
 def op4_sentencepiece(spark, sf_dir):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import SEP, U, chunks, inside, mix, window_hashes
-from .store import materialize
+from .store import bounded, materialize
 
 MIN_WORDS, K = 50, 64
 #: Limits of the distances, and the least words from which each test applies. The distance of n sampled words from
@@ -91,7 +91,7 @@ def references(docs: DataFrame, k: int = K) -> tuple[dict, dict]:
                     slot[0].append(hs)
                     slot[1].append(n)
                     held += len(hs)
-                if held > 2_000_000:  # a bound on memory: what is held is added up in Spark
+                if held > 500_000:  # a bound on memory: what is held is added up in Spark
                     yield from flush(words, classes)
                     words, classes, held = {}, {}, 0
         yield from flush(words, classes)
@@ -153,7 +153,7 @@ RESULT = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("
 def rate(docs: DataFrame, keep: list[str] | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """Adds the counts, both distances (null below their minimum length) and ``kept`` to every row; ``keep``: columns that stay (default all)."""
     spark = docs.sparkSession
-    chars, words = references(docs)
+    chars, words = references(bounded(docs))
     refs = spark.sparkContext.broadcast((chars, words))
     keep = [c for c in docs.columns if c not in dict(RESULT)] if keep is None else keep
     body = docs.select(*keep, F.col("lang").cast("string").alias("__lang"), F.col("text").cast("string").alias("__text"))

@@ -1,32 +1,30 @@
-"""Shared-folder tables and size-checked broadcasts used by the operators."""
+"""Size-checked broadcasts and bounded batches of the operators; tables go to the shared folder by ``operators.store``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.store import clear, materialize, shared_dir  # noqa: F401
+
 #: A side is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 1 << 19
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say: by default it is 10,000 texts of any length.
+BATCH_BYTES = "4m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_ledgerloom_dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
-        spark._ledgerloom_dir = path
-    return path.rstrip("/")
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session sends texts to workers in batches of about ``BATCH_BYTES``, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def whole_id(name: str = "doc_id") -> Column:
+    """An id as a whole number; ids that are none, such as texts, read as null."""
+    return F.col(name).try_cast("long").alias(name)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ bounded share of all windows; of a window that one stretch has many times, two o
 Buckets find the repeated hashes; their places go, packed, to buckets of documents, where neighbouring windows
 merge into intervals of words. Texts are never shuffled unless the intervals are too many to broadcast.
 
-Null and empty texts and texts below ``w`` words: nothing removed. Windows are judged on the input, not on what
+``digest`` reads ids as whole numbers (others: null). Null and empty texts and texts below ``w`` words: nothing removed. Windows are judged on the input, not on what
 is left. Empty tables give empty results; the other columns of ``docs`` pass through ``dedup``
 (``n_words n_removed kept intervals`` of the input are replaced).
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U, chunks, inside, packed, unpacked, window_hashes
-from .store import BROADCAST_ROWS, materialize
+from .store import BROADCAST_ROWS, bounded, materialize, whole_id
 
 WINDOW = 35
 #: Windows of one bucket, and the bound on buckets; windows held by a task before it sends them on.
@@ -149,7 +149,7 @@ def repeated_spots(docs: DataFrame, spots, finish) -> DataFrame:
             values, bounds, cells = finish(doc, place - (ends - counts)[doc])
             yield pa.RecordBatch.from_arrays([pa.array(keys[cells]), packed(values, bounds)], ["text_key", "intervals"])
 
-    keyed = docs.select(F.xxhash64("text").alias("k"), F.col("text").cast("string"))
+    keyed = bounded(docs).select(F.xxhash64("text").alias("k"), F.col("text").cast("string"))
     sent = keyed.mapInArrow(windows, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(repeated, _PACKED).repartition("src").sortWithinPartitions("src")
     return materialize(found.mapInArrow(merged, "text_key long, intervals binary").groupBy("text_key").agg(F.first("intervals").alias("intervals")))
@@ -228,7 +228,7 @@ def digest(docs: DataFrame, w: int = WINDOW) -> DataFrame:
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(whole_id(), F.col("text").cast("string"))
     return with_spans(docs, intervals(docs, w)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
