@@ -1,7 +1,7 @@
 """Media columns: ISO base media containers are walked box by box; sample tables give codec, duration and
 keyframe byte ranges without decoding a payload.
 
-``parse`` takes any ISO BMFF bytes. ``wrap`` stores raw bytes losslessly as the 8-bit samples of one track
+``parse`` takes any ISO BMFF bytes, fragmented files included: samples of movie fragments follow those of the tables. ``wrap`` stores raw bytes losslessly as the 8-bit samples of one track
 (192-byte samples, every 16th a sync sample). Null and empty texts give one sample of spaces; repeated rows
 give equal values; damaged containers give ``error`` and null fields, never a crash.
 """
@@ -16,6 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .store import bounded, whole_id
 
 SAMPLE, SYNC_EVERY, TIMESCALE = 192, 16, 8000
 _PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
@@ -126,6 +129,8 @@ def parse_track(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> dict:
     codec = bytes(data[leaf[b"stsd"][0] + 12 : leaf[b"stsd"][0] + 16]).decode("latin-1")
     a, _ = leaf[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, a + 4)
+    if fixed * n > len(data):
+        raise ValueError("more samples than the file has bytes")
     sizes = [fixed] * n if fixed else [x for (x,) in table(b"stsz", 12, "I")]
     offsets = [x for (x,) in (table(b"co64", 8, "Q") or table(b"stco", 8, "I"))]
     runs, places, i = table(b"stsc", 8, "III"), [], 0
@@ -142,12 +147,90 @@ def parse_track(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> dict:
     if i != n or any(b > len(data) for _, b in places):
         raise ValueError("samples outside the file")
     sync = [x for (x,) in table(b"stss", 8, "I")] if b"stss" in leaf else range(1, n + 1)
-    return {"codec": codec, "timescale": scale, "ticks": ticks, "places": places, "keyframes": [places[k - 1] for k in sync]}
+    if any(not 1 <= k <= n for k in sync):
+        raise ValueError("a sync sample outside the table")
+    a = leaf[b"tkhd"][0] if b"tkhd" in leaf else None
+    number = 0 if a is None else struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+    return {"codec": codec, "timescale": scale, "ticks": ticks, "places": places, "keyframes": [places[k - 1] for k in sync], "number": number, "table_ticks": sum(c * d for c, d in table(b"stts", 8, "II"))}
+
+
+def _defaults(data: memoryview) -> dict[int, tuple[int, int, int]]:
+    """Track number -> default duration, size and flags of samples in fragments."""
+    out = {}
+    for kind, a, b in boxes(data, 0, len(data)):
+        for kind2, a2, b2 in boxes(data, a, b) if kind == b"moov" else ():
+            for kind3, a3, _ in boxes(data, a2, b2) if kind2 == b"mvex" else ():
+                if kind3 == b"trex":
+                    number, _, *rest = struct.unpack_from(">5I", data, a3 + 4)
+                    out[number] = tuple(rest)
+    return out
+
+
+def _words_if(data: memoryview, at: int, flags: int, bits: list[tuple[int, str]]) -> tuple[dict[int, int], int]:
+    """The optional fields of a box that its flags announce, and where they end."""
+    found = {}
+    for bit, width in bits:
+        if flags & bit:
+            found[bit] = struct.unpack_from(">" + width, data, at)[0]
+            at += struct.calcsize(">" + width)
+    return found, at
+
+
+def _run(data: memoryview, a: int, b: int, base: int, at: int, own: tuple[int, int, int]):
+    """(place, duration, flags) of each sample of a ``trun`` box."""
+    flags = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF
+    n = struct.unpack_from(">I", data, a + 4)[0]
+    head, pos = _words_if(data, a + 8, flags, [(0x1, "i"), (0x4, "I")])
+    fields = [(bit, "I") for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if pos + 4 * len(fields) * n > b or (not flags & 0x200 and own[1] * n > len(data)) or (not fields and not own[1] and n > len(data)):
+        raise ValueError("a fragment's samples don't fit")
+    at = base + head[0x1] if 0x1 in head else at
+    for i in range(n):
+        x, pos = _words_if(data, pos, flags, fields)
+        size = x.get(0x200, own[1])
+        what = x.get(0x400, head[0x4] if i == 0 and 0x4 in head else own[2])
+        yield (at, at + size), x.get(0x100, own[0]), what
+        at += size
+
+
+def fragments(data: memoryview, found: list[dict]) -> None:
+    """Adds the samples of all movie fragments to their tracks."""
+    defaults, by = _defaults(data), {t["number"]: t for t in found}
+    for kind, a, b in boxes(data, 0, len(data)):
+        if kind != b"moof":
+            continue
+        start, at = a - (16 if bytes(data[a - 12 : a - 8]) == b"moof" else 8), 0  # a long header has its size behind the type
+        for kind2, a2, b2 in boxes(data, a, b):
+            if kind2 != b"traf":
+                continue
+            track, base, own = None, start, (0, 0, 0)
+            for kind3, a3, b3 in boxes(data, a2, b2):
+                if kind3 == b"tfhd":
+                    flags, number = struct.unpack_from(">II", data, a3)
+                    x, _ = _words_if(data, a3 + 8, flags, [(0x1, "Q"), (0x2, "I"), (0x8, "I"), (0x10, "I"), (0x20, "I")])
+                    track, old = by.get(number), defaults.get(number, (0, 0, 0))
+                    base, own = x.get(0x1, start), (x.get(0x8, old[0]), x.get(0x10, old[1]), x.get(0x20, old[2]))
+                    at = base
+                elif kind3 == b"trun" and track is not None:
+                    for place, ticks, what in _run(data, a3, b3, base, at, own):
+                        if place[0] < 0 or place[1] > len(data):
+                            raise ValueError("samples outside the file")
+                        track["places"].append(place)
+                        track["fragment_ticks"] = track.get("fragment_ticks", 0) + ticks
+                        if not what & 0x10000:
+                            track["keyframes"].append(place)
+                        at = place[1]
+    for t in found:
+        extra, stored = t.pop("fragment_ticks", 0), t.pop("table_ticks")
+        if extra:
+            t["ticks"] = max(0 if t["ticks"] in ((1 << 32) - 1, (1 << 64) - 1) else t["ticks"], stored + extra)
 
 
 def parse(data: bytes) -> list[dict]:
     view = memoryview(data)
-    return [parse_track(view, leaf) for leaf in tracks(view)]
+    found = [parse_track(view, leaf) for leaf in tracks(view)]
+    fragments(view, found)
+    return found
 
 
 def payload(data: bytes, track: dict) -> bytes:
@@ -170,31 +253,35 @@ def feature(track: dict) -> str:
     return f"codec={track['codec'].strip()};duration={seconds:.6f};samples={len(track['places'])};keyframes={keys}"
 
 
+_TRACK = [("codec", pa.string()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+_INFO = pa.struct([("tracks", pa.list_(pa.struct(_TRACK))), ("error", pa.string())])
+
+
+def _info(data: bytes | None) -> dict | None:
+    if data is None:
+        return None
+    try:
+        found = parse(data)
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
+        return {"tracks": None, "error": f"{type(e).__name__}: {e}"[:200]}
+    rows = [{"codec": t["codec"], "duration": t["ticks"] / t["timescale"] if t["timescale"] else 0.0, "n_samples": len(t["places"]), "keyframes": [{"start": a, "end": b} for a, b in t["keyframes"]]} for t in found]
+    return {"tracks": rows or None, "error": None if rows else "no track"}
 
 
 def probe(df: DataFrame, column: str) -> DataFrame:
-    """Adds struct ``media_info`` (codec, duration, n_samples, keyframes, error) of the first track of a binary column.
+    """Adds struct ``media_info``: ``tracks`` (codec, duration, n_samples, keyframes of each track of a binary column) and ``error``.
 
-    A null cell gives a null struct; a damaged or trackless file gives ``error``.
+    A null cell gives a null struct; a damaged or trackless file gives ``error`` and no tracks. ``media_info`` of the input is replaced.
     """
-    from pyspark.sql import types as T
+    df = df.drop("media_info")
+    names, at = df.columns, df.columns.index(column)
 
-    kind = T.StructType([T.StructField("codec", T.StringType()), T.StructField("duration", T.DoubleType()), T.StructField("n_samples", T.LongType()), T.StructField("keyframes", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("error", T.StringType())])
-
-    @F.udf(kind, useArrow=True)
-    def read(data):
-        if data is None:
-            return None
-        try:
-            found = parse(bytes(data))
-            if not found:
-                return (None, None, None, None, "no track")
-            t = found[0]
-            return (t["codec"], t["ticks"] / t["timescale"] if t["timescale"] else 0.0, len(t["places"]), t["keyframes"], None)
-        except (ValueError, KeyError, IndexError, struct.error) as e:
-            return (None, None, None, None, str(e)[:200])
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_info(x.as_py()) for x in b.column(at)], _INFO)], [*names, "media_info"])
 
-    return df.withColumn("media_info", read(F.col(column)))
+    kind = "struct<tracks:array<struct<codec:string,duration:double,n_samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>,error:string>"
+    return bounded(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("media_info", T._parse_datatype_string(kind))]))
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -217,7 +304,7 @@ def digest(docs: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in DIGEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGEST)
+    return bounded(docs).select(whole_id(), F.col("text").cast("string")).mapInArrow(run, DIGEST)
 
 
 def op10_media_columns(spark, sf_dir):
