@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import bounded
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title plaintext".split())
 UNSEEN = frozenset("head script style template title noembed noframes iframe object canvas audio video datalist annotation annotation-xml".split())
@@ -385,8 +387,7 @@ def render(root: Node) -> str:
             flow.put("”", True)
         elif what == "cell":
             flow.end()
-            across = x.attrs.get("colspan", "")
-            tables[-1][-1].append((_trim(flow.lines), min(int(across), 1000) if re.fullmatch(r"[1-9][0-9]{0,5}", across) else 1))
+            tables[-1][-1].append((_trim(flow.lines), _span(x, "colspan", 1000), _span(x, "rowspan", 65534)))
             flow = flows.pop()
         elif what == "table":
             flow.end()
@@ -409,26 +410,53 @@ def _trim(lines: list[str]) -> list[str]:
     return lines[a:b]
 
 
+def _span(x: Node, name: str, most: int) -> int:
+    given = x.attrs.get(name, "")
+    if name == "rowspan" and given.strip() == "0":  # down to the last row
+        return most
+    return min(int(given), most) if re.fullmatch(r"[1-9][0-9]{0,5}", given) else 1
+
+
+def _placed(rows: list[list]) -> list[list[tuple[int, list[str], int]]]:
+    """(column, lines, columns) of the cells of each row; cells from rows above keep their columns."""
+    out, taken = [], {}
+    for r in rows:
+        c, cells, below = 0, [], {k: n - 1 for k, n in taken.items() if n > 1}
+        for lines, across, down in r:
+            while taken.get(c):
+                c += 1
+            cells.append((c, lines, across))
+            if down > 1:
+                below |= dict.fromkeys(range(c, c + across), down - 1)
+            c += across
+        taken = below
+        if cells:
+            out.append(cells)
+    return out
+
+
 def _grid(rows: list[list]) -> list[str]:
     """Cells of a table in columns: each is as wide as its widest line that does not span."""
-    rows = [r for r in rows if r]
+    placed = _placed(rows)
     widths: dict[int, int] = {}
-    for r in rows:
-        c = 0
-        for lines, across in r:
+    for r in placed:
+        for c, lines, across in r:
             if across == 1:
                 widths[c] = max(widths.get(c, 0), max(map(width, lines), default=0))
-            c += across
+    last = max((c + across for r in placed for c, _, across in r), default=0)
+    left = [0]
+    for c in range(last):
+        left.append(left[-1] + widths.get(c, 0) + 2)
     out = []
-    for r in rows:
-        for k in range(max((len(lines) for lines, _ in r), default=0)):
-            c, parts = 0, []
-            for lines, across in r:
+    for r in placed:
+        for k in range(max((len(lines) for _, lines, _ in r), default=0)):
+            line, at = [], 0
+            for i, (c, lines, _) in enumerate(r):
+                gap = max(left[c] - at, 2 if i else 0)
                 text = lines[k] if k < len(lines) else ""
-                room = sum(widths.get(i, 0) for i in range(c, c + across)) + 2 * (across - 1)
-                parts.append(text + " " * max(0, room - width(text)))
-                c += across
-            out.append("  ".join(parts).rstrip())
+                line.append(" " * gap + text)
+                at += gap + width(text)
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -450,7 +478,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             out = [text_of(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], [*names, "rendered", "title"])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("rendered", T.StringType()), T.StructField("title", T.StringType())]))
+    return bounded(pages).mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("rendered", T.StringType()), T.StructField("title", T.StringType())]))
 
 
 def op6_html_extraction(spark, sf_dir):
