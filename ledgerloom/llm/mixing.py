@@ -9,7 +9,7 @@ that the sum crosses. Ranking by size spreads the copies over all sizes, which k
 target.
 
 Ranks need no task per source: rows are grouped into (source, size level, salt) with at most about
-``group_rows`` rows each; group counts are summed over levels, then over salts, and rows are numbered inside
+``group_rows`` rows each (salts are hashes of id and size, so only rows that repeat both share one); group counts are summed over levels, then over salts, and rows are numbered inside
 their group only.
 
 Null text: size 0. Null source: a source of its own, last in order. Sources of size 0 have target 0. Equal rows
@@ -44,6 +44,11 @@ def _level(size: Column) -> Column:
     return F.floor(F.log2(size + F.lit(1)) * F.lit(32) + F.lit(1e-9)).cast("int")
 
 
+def _salt(salts: Column) -> Column:
+    """A group of a row's level by a hash of its id and size: even for repeated, null and strided ids alike."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 8), 16, 10).cast("long"), salts)
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_copies: int = 2) -> DataFrame:
     """(source, source_size, target) from (source, size): a row per source, so a table of the number of sources."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -73,10 +78,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_copies: int =
     plan = levels.select("source", "__level", (F.floor((F.col("n") - 1) / group_rows) + 1).alias("__salts"), F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("__level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     plan = materialize(_same(plan, goal, ["source"]))
     rows = _same(sized, F.broadcast(plan) if plan.count() <= 100_000 else plan, ["source", "__level"])
-    rows = rows.withColumn("__salt", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("__salts")))
+    rows = rows.withColumn("__salt", _salt(F.col("__salts")))
     crowded = W.partitionBy("source", "__level").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    counts = _same(sized.select("source", "__level", "doc_id"), F.broadcast(plan) if plan.count() <= 100_000 else plan, ["source", "__level"])
-    counts = counts.withColumn("__salt", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("__salts"))).groupBy("source", "__level", "__salt").agg(F.count(F.lit(1)).alias("n"))
+    counts = _same(sized.select("source", "__level", "doc_id", "size"), F.broadcast(plan) if plan.count() <= 100_000 else plan, ["source", "__level"])
+    counts = counts.withColumn("__salt", _salt(F.col("__salts"))).groupBy("source", "__level", "__salt").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("source", "__level", "__salt", F.coalesce(F.sum("n").over(crowded), F.lit(0)).alias("__start"))
     rows = _same(rows, starts, ["source", "__level", "__salt"])
     inside = W.partitionBy("source", "__level", "__salt").orderBy("size", F.col("doc_id").asc_nulls_first())
@@ -121,7 +126,7 @@ goal AS (SELECT source, source_size, least(coalesce(water.l * w, cap), cap) AS t
 salts AS (SELECT source, lvl, (count(*) - 1) // 250 + 1 AS salts FROM sized GROUP BY source, lvl),
 ranked AS (
   SELECT s.doc_id, s.source, s.size,
-         row_number() OVER (PARTITION BY s.source ORDER BY s.lvl, coalesce(s.doc_id, 0) % t.salts, s.size, s.doc_id NULLS FIRST) AS k
+         row_number() OVER (PARTITION BY s.source ORDER BY s.lvl, ('0x' || substr(md5(concat_ws('|', s.doc_id::VARCHAR, s.size::VARCHAR)), 1, 8))::BIGINT % t.salts, s.size, s.doc_id NULLS FIRST) AS k
   FROM sized s JOIN salts t ON s.source IS NOT DISTINCT FROM t.source AND s.lvl = t.lvl),
 rated AS (SELECT k.*, g.source_size, g.target, g.u, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
           FROM ranked k JOIN goal g ON k.source IS NOT DISTINCT FROM g.source)
