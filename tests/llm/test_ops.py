@@ -253,6 +253,32 @@ def base(t):
     return out
 
 
+def test_ids_that_are_texts(spark):
+    df = spark.createDataFrame([("a1", BASE, "en", "a", 1), ("7", BASE, "en", "a", 1), (None, None, None, None, None)], "doc_id string, text string, lang string, source string, n_chars long").withColumn("stays", F.lit(1))
+    assert {r["doc_id"] for r in ngram_join.cluster(df).collect()} == {None, 7}
+    assert ngram_join.keep_one(df).count() == 2 and set(ngram_join.keep_one(df).columns) == set(df.columns)
+    assert mixing.mix(df).count() == 3 and pieces.encode(df).count() == 3
+    assert {r["doc_id"] for r in pii.digest(df).collect()} == {r["doc_id"] for r in substrings.digest(df).collect()} == {None, 7}
+
+
+def test_pii_grows_from_instance_to_pattern(spark):
+    """Local numbers behind a pattern of seeds are trusted; they bring in a pattern that no seed has, and its other instances."""
+    rng = random.Random(9)
+    filler = lambda: " ".join(rng.choice(VOCAB) for _ in range(6))
+    numbers = [f"0171 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}" for _ in range(40)]
+    rows = [f"{filler()} his phone number +1 (743) 555-{1000 + i} {filler()}" for i in range(40)]
+    rows += [f"{filler()} his phone number {x} {filler()}" for x in numbers[:20]]
+    rows += [f"{filler()} reach him under {x}, {filler()}" for x in numbers]
+    rows += [f"{filler()} token = \"{rng.getrandbits(160):040x}\" {filler()}" for _ in range(20)] + [f"{filler()} token = \"Zk{rng.getrandbits(60)}x\" {filler()}" for _ in range(10)]
+    clean = [f"{filler()} order no {rng.randrange(10**7, 10**8)} {filler()}" for _ in range(60)]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(rows + clean)], DOC)).collect()}
+    got = {i: [(s["kind"], out[i]["text"][s["start"] : s["end"]]) for s in r["spans"]] for i, r in out.items()}
+    assert [got[40 + i] for i in range(20)] == [[("phone", x)] for x in numbers[:20]]
+    assert [got[60 + i] for i in range(40)] == [[("phone", x)] for x in numbers]
+    assert all(k == "secret" for i in range(100, 130) for k, _ in got[i]) and all(len(got[i]) == 1 for i in range(100, 130))
+    assert all(not got[130 + i] for i in range(60))
+
+
 def test_base_spans():
     rng = random.Random(2)
     texts = ["".join(rng.choice("a1@.+- 9(7)%é\n5") for _ in range(rng.randrange(60))) for _ in range(3000)]
@@ -384,7 +410,64 @@ def test_media_files(spark):
     assert [data[a:b] for a, b in track["keyframes"]] == [media.pad(b"a" * 5000)[k : k + 192] for k in range(0, 5184, 16 * 192)]
     df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:100])), (3, bytearray(b"")), (4, None)], "id int, m binary")
     out = {r["id"]: r["media_info"] for r in media.probe(df, "m").collect()}
-    assert out[1]["n_samples"] == 27 and out[2]["error"] and out[3]["error"] == "no track" and out[4] is None
+    assert [t["n_samples"] for t in out[1]["tracks"]] == [27] and out[2]["error"] and out[3]["error"] == "no track" and out[4] is None
+
+
+def test_media_of_damaged_and_fragmented_files(spark):
+    import struct
+
+    box, full, u = media._box, media._full, lambda *x: struct.pack(f">{len(x)}I", *x)
+    good = media.wrap(media.pad(b"a" * 500))
+    many = good.replace(struct.pack(">II", 192, 3), struct.pack(">II", 192, (1 << 32) - 1))
+    zero = good.replace(full(b"stss", u(1, 1)), full(b"stss", u(1, 0)))
+    assert many != good != zero
+    for bad in (many, zero):
+        assert media._info(bad)["error"]
+    # two tracks whose samples are in fragments only
+    stbl = lambda codec: box(b"stbl", full(b"stsd", u(1), box(codec, bytes(8))), full(b"stts", u(0)), full(b"stsc", u(0)), full(b"stsz", u(0, 0)), full(b"stco", u(0)))
+    trak = lambda n, codec: box(b"trak", full(b"tkhd", u(0, 0, n, 0, 0)), box(b"mdia", full(b"mdhd", u(0, 0, 1000, 0)), box(b"minf", stbl(codec))))
+    moov = box(b"moov", trak(1, b"avc1"), trak(2, b"mp4a"), box(b"mvex", full(b"trex", u(1, 1, 40, 0, 0x10000)), full(b"trex", u(2, 1, 20, 5, 0))))
+    head = box(b"ftyp", b"isom", u(0)) + moov
+
+    def moof(at):
+        one = box(b"traf", full(b"tfhd", u(1), flags=0x20000), full(b"trun", u(3, at, 0x2000000, 10, 20, 30), flags=0x205))
+        two = box(b"traf", full(b"tfhd", u(2), flags=0x20000), full(b"trun", u(2, at + 60), flags=0x1))
+        return box(b"moof", one, two)
+
+    size = len(moof(0))
+    data = head + (moof(size + 8) + box(b"mdat", bytes(70))) * 2
+    a, b = media._info(data)["tracks"]
+    assert (a["codec"], a["n_samples"], a["duration"]) == ("avc1", 6, 0.24) and (b["codec"], b["n_samples"], b["duration"]) == ("mp4a", 4, 0.08)
+    first = len(head) + size + 8
+    assert [(x["start"], x["end"]) for x in a["keyframes"]] == [(first, first + 10), (first + size + 78, first + size + 88)]
+    assert [(x["start"], x["end"]) for x in b["keyframes"]][:2] == [(first + 60, first + 65), (first + 65, first + 70)]
+    assert "error" in media._info(data[:-1]) and media._info(data[:-1])["error"]
+
+
+def test_media_equals_a_plain_reader(spark, docs):
+    """The stored form read without the module: first payload byte and sample count from the boxes' fixed places."""
+    import struct
+
+    texts = {i: t for i, t, *_ in ROWS if i is not None}
+    for r in media.digest(docs).collect():
+        if r["doc_id"] is None:
+            continue
+        raw = (texts[r["doc_id"]] or "").encode()
+        whole = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        data = media.wrap(whole)
+        at = data.rindex(b"mdat" + whole[:64]) + 4
+        n = struct.unpack(">I", data[data.index(b"stsz") + 12 :][:4])[0]
+        keys = ",".join(f"{at + k * 192}-{at + k * 192 + 192}" for k in range(0, n, 16))
+        assert data[at:] == whole and n == len(whole) // 192
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r["feature"] == f"codec=raw;duration={len(whole) / 8000:.6f};samples={n};keyframes={keys}"
+
+
+def test_rows_and_columns_that_span():
+    t = lambda x: html_text.text_of(x)[0]
+    assert t("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert t("<table><tr><td>x<td rowspan=0>y<td>z<tr><td>1<td>2<tr><td>3<td>4</table>") == "x  y  z\n1     2\n3     4"
+    assert t("<table><tr><td colspan=2>wide<td>r<tr><td>a<td>b<td>c</table>").split("\n")[1] == "a  b  c"
 
 
 def test_all_ten_are_registered():

@@ -71,3 +71,33 @@ def test_long_words_and_many_languages_have_references(spark):
     out = {r["doc_id"]: r for r in quality.rate(spark.createDataFrame(rows, DOC)).collect()}
     assert all(out[i]["word_distance"] < 0.3 for i in range(40)) and out[100]["word_distance"] > 0.8
     assert all(out[1000 + i]["word_distance"] < 0.01 for i in range(1100))
+
+
+def test_distances_equal_plain_arithmetic(spark):
+    """Both distances and the verdict, counted again word by word and byte by byte."""
+    import math
+
+    rng = random.Random(12)
+    vocab = {"en": [f"En{i}" for i in range(30)] + ["a,b", "x#1"], "fr": [f"été{i}" for i in range(25)]}
+    rows = [(i, drawn(rng.sample(vocab[la], 20), rng.randrange(1, 160), rng), la, "s", 1) for i in range(60) for la in [rng.choice(["en", "fr"])]] + [(100, None, "en", "s", 1), (101, drawn(vocab["fr"], 120, rng), None, "s", 1), (102, "junk " * 120, "en", "s", 1)]
+    kind = lambda x: 1 if 97 <= x <= 122 else 2 if 65 <= x <= 90 else 3 if 48 <= x <= 57 else 4 if x >= 0xC0 else 5 if x in b".,;:!?'\"()-" else 6 if x in b"#*$%&|<>" else 7
+    shown = lambda t: [kind(x) for x in (t or "").encode() if not 0x80 <= x < 0xC0 and x not in b" \t\n\v\f\r"]
+    share = lambda c: {k: v / sum(c.values()) for k, v in c.items()}
+
+    def far(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        return math.sqrt(sum(x[k] * math.log2(x[k] / m[k]) for x in (p, q) for k in x if x[k]) / 2)
+
+    refs = {la: (collections.Counter(w for _, t, x, *_ in rows if la in ("", x) for w in (t or "").split()), collections.Counter(c for _, t, x, *_ in rows if la in ("", x) for c in shown(t))) for la in ("en", "fr", "")}
+    for r in quality.rate(spark.createDataFrame(rows, DOC)).collect():
+        words, n = (r["text"] or "").split(), len((r["text"] or "").split())
+        seen, (of_words, of_chars) = collections.Counter(words), refs[r["lang"] or ""]
+        top = {w for w, _ in of_words.most_common(64)}
+        fold = lambda c: collections.Counter({(w if w in top else "other"): 0 for w in c}) + collections.Counter([w if w in top else "other" for w in c.elements()])  # noqa: E731, B023
+        if n < 50:
+            assert r["word_distance"] is None and r["char_distance"] is None and not r["kept"]
+            continue
+        word, char = far(share(fold(seen)), share(fold(of_words))), far(share(collections.Counter(shown(r["text"]))), share(of_chars))
+        assert abs(r["word_distance"] - word) < 1e-9 and abs(r["char_distance"] - char) < 1e-9
+        limit = quality.WORD_LIMIT + quality.WORD_NOISE * math.sqrt(1 / n + 1 / sum(of_words.values()))
+        assert r["kept"] == (not r["base_failed"] and char <= quality.CHAR_LIMIT and word <= limit)
