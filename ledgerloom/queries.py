@@ -475,7 +475,7 @@ WHERE 0.45 * CASE WHEN gap <= 1 THEN 1.0 ELSE greatest(0.0, 1 - gap / greatest(a
 def bank_score_bound(spark, sf_dir):
     """The pairs of the first step: those that amount and date alone allow a rounded score of 0.88."""
     b, r = bank_matching._narrow(*_bank(spark, sf_dir))
-    pairs = bank_matching.pairs_between(b, r, 0.88, 2.0)
+    pairs = bank_matching.pairs_between(b, r, 0.88)
     return pairs.select(F.concat(F.lit("bank-"), "row_ord").alias("bank_line_id"), F.concat(F.lit("acct-"), "book_ord").alias("accounting_record_id"), "day_gap")
 
 
