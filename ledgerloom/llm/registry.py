@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import html_text, media, mixing, ngram_join, pieces, pii, quality, substrings, suffixes, urls
+from . import divergence, html_text, media, mixing, ngram_join, pieces, pii, quality, substrings, suffixes, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
-ORACLES = {"op1_url_filters": urls.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op8_substring_dedup": substrings.OP8_SQL}
+ORACLES = {"op1_url_filters": urls.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op11_source_divergence": divergence.OP11_SQL}
