@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import divergence, html_text, media, mixing, ngram_join, pieces, pii, prefix_trie, quality, substrings, suffixes, urls
+from . import divergence, embeddings, html_text, media, mixing, ngram_join, pieces, pii, prefix_trie, quality, substrings, suffixes, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_embedding_dedup": embeddings.op12_embedding_dedup,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {"op1_url_filters": urls.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op11_source_divergence": divergence.OP11_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
