@@ -57,7 +57,7 @@ def _send(held: dict):
     for (lang, source), (n, docs) in held.items():
         terms = list(n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).view(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
+            [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).view(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
             ["lang", "source", "term", "n", "docs"],
         )
 

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import html_text, media, mixing, ngram_join, pieces, pii, quality, registry, substrings, suffixes, urls
+from ledgerloom.llm import html_text, media, mixing, ngram_join, pieces, pii, quality, substrings, suffixes, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -469,6 +469,3 @@ def test_rows_and_columns_that_span():
     assert t("<table><tr><td>x<td rowspan=0>y<td>z<tr><td>1<td>2<tr><td>3<td>4</table>") == "x  y  z\n1     2\n3     4"
     assert t("<table><tr><td colspan=2>wide<td>r<tr><td>a<td>b<td>c</table>").split("\n")[1] == "a  b  c"
 
-
-def test_all_ten_are_registered():
-    assert {re.match(r"op(\d+)_", k)[1] for k in registry.QUERIES} == {str(i) for i in range(1, 11)}
