@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, text
 from ledgerloom.operators import bank_matching, relational, tax_matching
+from ledgerloom.operators.nearest import Rules, search
 from ledgerloom.plans import consolidated, gold, mis, periods, rules, silver, vendor
 from ledgerloom.sources import bridge, ingest
 from ledgerloom.streaming import bronze_stream
@@ -479,6 +480,26 @@ def bank_score_bound(spark, sf_dir):
     return pairs.select(F.concat(F.lit("bank-"), "row_ord").alias("bank_line_id"), F.concat(F.lit("acct-"), "book_ord").alias("accounting_record_id"), "day_gap")
 
 
+_NEAR_SQL = r"""
+WITH a AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS price,
+                  ['customer', o_custkey::VARCHAR, 'inv', o_orderkey::VARCHAR, 'payment'] AS words FROM orders),
+b AS (SELECT k, day + CAST(k % 6 AS INTEGER) AS day, price + CASE k % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 ELSE 250.0 END AS amount, ['receipt', words[1], words[2], words[3], words[4]] AS words FROM a),
+p AS (SELECT b.k AS bk, a.k AS ak, abs(b.amount - a.price) AS gap, abs(b.day - a.day)::INTEGER AS days, b.amount, len(list_intersect(a.words, b.words)) AS n_both, len(list_distinct(list_concat(a.words, b.words))) AS n_all
+      FROM b JOIN a ON a.day BETWEEN b.day - 3 AND b.day + 3),
+s AS (SELECT *, printf('%.4f', (CASE WHEN gap <= 1 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - gap / greatest(abs(amount), 1.0::DOUBLE)) END) * 0.45::DOUBLE + (1 - days / 4.0::DOUBLE) * 0.25::DOUBLE + (n_both / n_all::DOUBLE) * 0.30::DOUBLE)::DOUBLE AS score FROM p)
+SELECT 'bank-' || bk AS bank_line_id, 'acct-' || ak AS accounting_record_id, score, days AS day_gap FROM s WHERE score >= 0.5
+QUALIFY row_number() OVER (PARTITION BY bk ORDER BY score DESC, days, ak) <= 5"""
+
+
+@query("bank_near_candidates", _NEAR_SQL)
+def bank_near_candidates(spark, sf_dir):
+    """The five best records within three days of each line, with their scores; texts count by their words."""
+    b, r = bank_matching._narrow(*_bank(spark, sf_dir))
+    words = Rules(bank_matching.DAYS, bank_matching.CHARGE_DAYS, bank_matching.SHARE, bank_matching.LEAST, (bank_matching.AMOUNT, bank_matching.DATE, bank_matching.TEXT), bank_matching.POSSIBLE, bank_matching.CHARGE_SCORE, ratio=False)
+    best = search(b, r.withColumn("holder", F.lit(None).cast("long")), 5, True, words)
+    return best.select(F.concat(F.lit("bank-"), "row_ord").alias("bank_line_id"), F.concat(F.lit("acct-"), "book_ord").alias("accounting_record_id"), "score", F.col("days").alias("day_gap"))
+
+
 @query("bank_top_candidates")
 def bank_top_candidates(spark, sf_dir):
     top = bank_matching.top_candidates(*_bank(spark, sf_dir))

@@ -117,18 +117,18 @@ def _bank_case(rng, n):
     return lines, records
 
 
-@pytest.mark.parametrize("few, rows", [(0, 40), (10**9, 10**6)])
-def test_bank_equals_choosing_in_order(spark, monkeypatch, few, rows):
-    from ledgerloom.operators import assign
+@pytest.mark.parametrize("n, first, rows, room", [(60, 1, 40, 7), (60, 4, 10**6, 4096), (700, 4, 500, 100)])
+def test_bank_equals_choosing_in_order(spark, monkeypatch, n, first, rows, room):
+    from ledgerloom.operators import assign, nearest
 
-    monkeypatch.setattr(bank_matching, "FEW", few)
     monkeypatch.setattr(assign.held, "__defaults__", (None, rows))
+    monkeypatch.setattr(nearest.search, "__defaults__", (room,))
     rng = random.Random(11)
-    lines, records = _bank_case(rng, 60)
+    lines, records = _bank_case(rng, n)
     want = bank_in_order(lines, records)
-    got = bank_matching.choose(bank_matching.prepare_bank(bank(spark, *lines)), bank_matching.prepare_books(books(spark, *records)), (0.85, 0.7, 0.5))
+    got = bank_matching.choose(bank_matching.prepare_bank(bank(spark, *lines)), bank_matching.prepare_books(books(spark, *records)), first)
     assert {r["row_ord"]: r["book_ord"] for r in got.collect()} == {i: j for i, (j, _) in want.items()}
-    assert len(want) > 40
+    assert len(want) > 0.6 * n
 
 
 def test_top_candidates_are_the_best(spark):
@@ -381,3 +381,41 @@ def test_assignment_is_one_to_one_over_whole_tables(spark, data):
     n = bridge.bank_lines(spark, data).count()
     assert pairs.count() == pairs.select("accounting_record_id").distinct().count() == pairs.select("bank_line_id").distinct().count()
     assert out.where("bank_line_id != ''").count() == n and out.where("accounting_record_id != ''").count() == n
+
+
+def test_ratios_of_many_pairs_equal_the_matcher():
+    from ledgerloom.functions.ratio import Texts, ratios
+
+    rng = random.Random(4)
+    some = lambda: "".join(rng.choice("abc d") for _ in range(rng.randrange(40)))
+    a = [some() for _ in range(120)] + ["", "é漢x" * 4, "x" * 150, "receipt customer 12 inv 7"]
+    b = [some() for _ in range(120)] + ["", "漢é" * 3, "x" * 140, "ab" * 150, "customer 12 inv 70 customer payment"]
+    i, j = [rng.randrange(len(a)) for _ in range(3000)] + [120] * 2, [rng.randrange(len(b)) for _ in range(3000)] + [120, 121]
+    assert ratios(Texts(a), Texts(b), i, j).tolist() == [SequenceMatcher(None, a[x], b[y]).ratio() for x, y in zip(i, j)]
+
+
+def test_letters_in_order_bound_matching_blocks():
+    import numpy as np
+
+    from ledgerloom.functions.ratio import Texts, matched
+    from ledgerloom.operators.nearest import codes, in_order
+
+    rng = random.Random(6)
+    a, b = (["".join(rng.choice("ab1 ") for _ in range(rng.randrange(1, 63))) for _ in range(60)] for _ in range(2))
+    i, j = (np.array([rng.randrange(60) for _ in range(800)]) for _ in range(2))
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = _next(row, c, y)
+        return row[-1]
+
+    def _next(row, c, y):
+        new = [0]
+        for t, z in enumerate(y):
+            new.append(row[t] + 1 if z == c else max(row[t + 1], new[t]))
+        return new
+
+    got = in_order(codes(a, 63), codes(b, 127), i, j).tolist()
+    assert got == [common(a[x], b[y]) for x, y in zip(i, j)]
+    assert (matched(Texts(a), Texts(b), i, j) <= np.array(got)).all()
