@@ -141,7 +141,9 @@ def status_counts(df: DataFrame, statuses: list[str], column: str = "match_statu
 
 def as_of(df: DataFrame, date: str, day) -> DataFrame:
     """All rows of the latest date up to ``day`` (ties kept)."""
-    return df.where(F.col(date) <= F.lit(day)).withColumn("__r", F.rank().over(W.orderBy(F.col(date).desc()))).where("__r = 1").drop("__r")
+    known = df.where(F.col(date) <= F.lit(day))
+    last = known.agg(F.max(date).alias("__last"))  # one row
+    return known.join(F.broadcast(last), known[date] == last["__last"]).drop("__last")
 
 
 def clamp_limit(df: DataFrame, n: int, low: int = 1, high: int = 100) -> DataFrame:

@@ -174,3 +174,12 @@ def run_rate(d: DataFrame, column: str) -> DataFrame:
     """Mean of the last three months of each month. One row per month: a single small partition."""
     w = W.orderBy("report_month").rowsBetween(-2, 0)
     return d.withColumn("run_rate", F.avg(column).over(w))
+
+
+def peak_quarter(d: DataFrame) -> DataFrame:
+    """(quarter, gross_margin) of the quarter with the highest gross margin; of equal ones the first."""
+    q, item = quarterly_sheet(d), F.col("Line Item")
+    total = lambda *keys: F.sum(F.when(item.isin(*[LABELS[k] for k in keys]), F.col("amount")))
+    by = q.groupBy("quarter").agg(total(*REVENUE).alias("revenue"), total("cogs_total").alias("cogs"))
+    by = by.withColumn("gross_margin", F.try_divide(F.col("revenue") - F.col("cogs"), F.col("revenue"))).where("gross_margin IS NOT NULL")
+    return by.agg(F.min_by("quarter", F.struct(-F.col("gross_margin"), "quarter")).alias("quarter"), F.max("gross_margin").alias("gross_margin")).where("quarter IS NOT NULL")

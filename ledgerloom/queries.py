@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import money, text
 from ledgerloom.operators import bank_matching, relational, tax_matching
 from ledgerloom.operators.nearest import Rules, search
-from ledgerloom.plans import consolidated, gold, mis, periods, rules, silver, vendor
+from ledgerloom.plans import catalog, consolidated, gold, mis, periods, rules, silver, vendor
 from ledgerloom.sources import bridge, ingest
 from ledgerloom.streaming import bronze_stream
 
@@ -449,6 +449,62 @@ def gst_status_summary(spark, sf_dir):
     return tax_matching.summary(_gst(spark, sf_dir))
 
 
+@query("gst_run_metadata", f"""
+SELECT 'gu-1' AS selected_upload_id, 'returns.xlsx' AS selected_file_name, CAST(a AS VARCHAR) AS selected_upload_min_date, CAST(b AS VARCHAR) AS selected_upload_max_date,
+       CAST(count(*) AS BIGINT) AS books_rows_before_period_filter, CAST(count(*) FILTER ({_DAY} BETWEEN a AND b) AS BIGINT) AS books_rows_after_period_filter
+FROM orders, (SELECT min({_RETURN_DAY}) AS a, max({_RETURN_DAY}) AS b FROM orders WHERE o_orderkey % 11 != 5) WHERE o_orderkey % 11 != 7 GROUP BY a, b""")
+def gst_run_metadata(spark, sf_dir):
+    """What a run stamps on each of its rows, taken from the result; the counts come from the pass that reads the books."""
+    out = tax_matching.reconcile(bridge.gstr_lines(spark, sf_dir), bridge.books_lines(spark, sf_dir), upload={"upload_id": "gu-1", "file_name": "returns.xlsx"})
+    return out.select("selected_upload_id", "selected_file_name", "selected_upload_min_date", "selected_upload_max_date", tax_matching.BEFORE, tax_matching.AFTER).distinct()
+
+
+@query("reason_differences", r"""
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 != 0 THEN printf('%.2f', o_totalprice) END AS DOUBLE) AS amount, CAST(CASE WHEN o_orderkey % 4 != 0 THEN o_orderkey % 40 END AS INTEGER) AS days FROM orders""")
+def reason_differences(spark, sf_dir):
+    """Differences read back from the reasons of matches."""
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    amount = F.when(k % 3 != 0, F.format_string("Amount differs by %,.2f", F.col("o_totalprice"))).otherwise(F.lit("amount matched within tolerance"))
+    days = F.when(k % 4 != 0, F.format_string("date differs by %d day(s)", k % 40)).otherwise(F.lit("date within 2 day(s)"))
+    reason = F.concat_ws("; ", amount, days)
+    return o.select("o_orderkey", text.amount_difference(reason).alias("amount"), text.day_difference(reason).alias("days"))
+
+
+# ---- catalog
+
+
+@query("catalog_invoice_status", f"""
+SELECT status, CAST(count(*) AS BIGINT) AS n, round(sum(total), 2) AS total FROM (
+  SELECT o_orderstatus AS status, CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 0 END AS total, CAST(o_orderdate AS DATE) AS day FROM orders
+  UNION ALL SELECT o_orderstatus, CAST(round(o_totalprice, 2) AS DECIMAL(18,2)), CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 11 = 0) t
+WHERE day >= DATE '1996-01-01' AND day < DATE '1997-01-01' GROUP BY status""")
+def catalog_invoice_status(spark, sf_dir):
+    """Plain SQL with named parameters over the view stack."""
+    catalog.views(bridge.bronze(spark, sf_dir, "invoices"), "q_")
+    sql = "SELECT status, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS total FROM q_silver_fact_invoices WHERE invoice_date >= :first AND invoice_date < :after GROUP BY status"
+    return catalog.ask(spark, sql, first=date(1996, 1, 1), after=date(1997, 1, 1)).select("status", "n", _d("total"))
+
+
+@query("catalog_bucketed_join", """
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 25 GROUP BY o_orderpriority""")
+def catalog_bucketed_join(spark, sf_dir):
+    """Documents and their lines, stored in buckets of the same key: the join has no exchange."""
+    catalog.save(_table(spark, sf_dir, "orders"), "q_orders", ["o_orderkey"], 16)
+    catalog.save(_table(spark, sf_dir, "lineitem"), "q_lines", ["l_orderkey"], 16)
+    sql = "SELECT o_orderpriority, count(*) AS n, round(sum(CAST(l_extendedprice AS DECIMAL(18,2))), 2) AS value FROM q_orders JOIN q_lines ON l_orderkey = o_orderkey WHERE l_quantity >= :least GROUP BY o_orderpriority"
+    return catalog.ask(spark, sql, least=25).select("o_orderpriority", "n", _d("value"))
+
+
+@query("legacy_source", """
+SELECT l_orderkey % 3 = 0 AS legacy, CAST(count(*) AS BIGINT) AS n, round(sum(total), 2) AS total FROM (SELECT l_orderkey, sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2))) AS total FROM lineitem GROUP BY l_orderkey) t GROUP BY 1""")
+def legacy_source(spark, sf_dir):
+    """Bills of a table without organisations give way to those of the same record that have one."""
+    now = bridge.bills(spark, sf_dir).where("run_id = 'run-1'")
+    old = catalog.legacy({"bills": now.select("source_record_id", "raw_json", "loaded_at")})
+    bills = silver.fact(now.where("CAST(source_record_id AS BIGINT) % 3 != 0").unionByName(old), "bills")
+    return bills.groupBy(F.col("source_org_id").isNull().alias("legacy")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("total")).select("legacy", "n", _d("total"))
+
+
 def _bank(spark, sf_dir):
     return bank_matching.prepare_bank(bridge.bank_lines(spark, sf_dir)), bank_matching.prepare_books(bridge.accounting_lines(spark, sf_dir))
 
@@ -597,6 +653,13 @@ def mis_quarters(spark, sf_dir):
     return q.groupBy("quarter").agg(total(*mis.REVENUE).alias("revenue"), total("cogs_total").alias("cogs"), total("other_ga").alias("other_ga"))
 
 
+@query("mis_peak_quarter", _ITEMS_SQL + """,
+quarters AS (SELECT 'Q' || (floor(((month(report_month) - 4 + 12) % 12) / 3) + 1)::INT AS quarter, sum(total_revenue) AS revenue, sum(cogs_total) AS cogs FROM i GROUP BY 1)
+SELECT quarter, round((revenue - cogs) / revenue, 6) AS gross_margin FROM quarters WHERE revenue <> 0 ORDER BY (revenue - cogs) / revenue DESC, quarter LIMIT 1""")
+def mis_peak_quarter(spark, sf_dir):
+    return mis.peak_quarter(_items(spark, sf_dir)).select("quarter", F.round("gross_margin", 6).alias("gross_margin"))
+
+
 @query("mis_run_rate", _ITEMS_SQL + """
 SELECT report_month, total_revenue, round(avg(total_revenue) OVER (ORDER BY report_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS run_rate FROM i""")
 def mis_run_rate(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions.money import to_money
-from ledgerloom.functions.text import cell_guard
+from ledgerloom.functions.text import cell_guard, shown_count, shown_duration, title_label
 from ledgerloom.operators.relational import clamp_limit, qualify
 
 
@@ -77,6 +77,12 @@ def run_history(log: DataFrame, limit: int = 25, status: str | None = None) -> D
     return clamp_limit(last.orderBy(F.coalesce("completed_at", "started_at").desc(), F.col("created_at").desc(), "run_id"), limit)
 
 
+def sync_summary(log: DataFrame, limit: int = 25, status: str | None = None) -> DataFrame:
+    """The run history as it is shown: status, records, duration and who started it."""
+    h = run_history(log, limit, status)
+    return h.select("run_id", title_label(F.col("status")).alias("status"), "started_at", "completed_at", shown_count(F.col("records_loaded")).alias("records"), shown_duration(F.col("duration_seconds")).alias("duration"), title_label(F.coalesce(F.nullif(F.trim("triggered_by"), F.lit("")), F.lit("-"))).alias("triggered_by"), F.coalesce("error_message", F.lit("")).alias("error_message"))
+
+
 def record_counts(raw: DataFrame) -> DataFrame:
     """(source_org_key, counts: entity -> rows)."""
     by = raw.groupBy("source_org_key", "entity_name").agg(F.count(F.lit(1)).alias("n"))
