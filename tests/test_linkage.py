@@ -5,6 +5,7 @@ from datetime import date
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import bank_matching, tax_matching
 from ledgerloom.operators.assign import greedy
@@ -189,7 +190,7 @@ def test_tax_return_example(spark):
     assert by["INV-1002"]["gstr_duplicate_count"] == 2 and by["INV-1002"]["gstr_raw_ids"] == "g1; g2"
     assert by["NOBOOK-1"]["action_required"] == "Not found in Bills. Check Expenses or card transactions."
     assert all(len(r["ai_summary"].split()) >= 8 for r in out if r["match_status"] != "matched")
-    assert set(tax_matching.AUDIT_COLUMNS) - set(res.columns) == {"gemini_suggestion", "gemini_confidence", "gemini_reason", "gemini_recommendation", "gemini_candidate_id", "selected_upload_id", "selected_file_name", "reconciliation_timestamp", "selected_upload_min_date", "selected_upload_max_date", "books_rows_before_period_filter", "books_rows_after_period_filter"}
+    assert set(tax_matching.AUDIT_COLUMNS) - set(res.columns) == {"gemini_suggestion", "gemini_confidence", "gemini_reason", "gemini_recommendation", "gemini_candidate_id"}
     s = tax_matching.summary(res, 7).first().asDict()
     assert {k: s[k] for k in tax_matching.STATUSES} == {"matched": 3, "amount_mismatch": 1, "tax_component_mismatch": 0, "possible_match": 1, "missing_in_books": 1, "missing_in_gstr": 1}
     first = [r["match_status"] for r in tax_matching.for_review(res).collect()]
@@ -419,3 +420,18 @@ def test_letters_in_order_bound_matching_blocks():
     got = in_order(codes(a, 63), codes(b, 127), i, j).tolist()
     assert got == [common(a[x], b[y]) for x, y in zip(i, j)]
     assert (matched(Texts(a), Texts(b), i, j) <= np.array(got)).all()
+
+
+def test_a_number_of_many_suppliers_costs_its_days(spark):
+    """Many lines and books of different suppliers, all with number 1, one day and value 0: safeguards compare one pair, not all."""
+    n = 3000
+    lines = spark.range(n).select(F.col("id").alias("row_ord"), F.concat(F.lit("g"), "id").alias("gstr_line_id"), F.concat(F.lit("S"), "id").alias("supplier_name"), F.format_string("29ABCDE%04dF1Z7", "id").alias("gstin"), F.lit("1").alias("invoice_number"), F.lit("2026-05-01").alias("invoice_date"), F.lit(0.0).alias("taxable_value"))
+    books = spark.range(n).select(F.col("id").alias("row_ord"), F.concat(F.lit("b"), "id").alias("books_record_id"), F.concat(F.lit("S"), F.col("id") + n).alias("party_name"), F.format_string("27PQRSX%04dL1Z2", "id").alias("gstin"), F.lit("1").alias("invoice_number"), F.lit("2026-05-02").alias("books_invoice_date"), F.lit(0.0).alias("books_taxable_value"))
+    g, b = tax_matching.prepare_lines(lines), tax_matching.prepare_books(books)
+    pairs = []
+    meet = lambda x, y: pairs.append(x.join(y, tax_matching._same("invoice_key"))) or tax_matching._gaps(pairs[0])
+    near = tax_matching._nearest(tax_matching._side(g, "g", tax_matching._NARROW), tax_matching._side(b, "b", tax_matching._NARROW), ["invoice_key"], meet)
+    assert near.count() == n and pairs[0].count() == 1
+    few = b.where("ord < 20")
+    out = tax_matching.safeguards(g.where("ord < 30"), few.select(*tax_matching._NARROW), few).select("match_level", "g_ord").collect()
+    assert len(out) == 20 and {(r["match_level"], r["g_ord"]) for r in out} == {("P6_SAFEGUARD_INVOICE", 0)}
