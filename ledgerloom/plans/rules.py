@@ -9,6 +9,8 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.versions import VersionedTable
+
 
 @dataclass
 class Rule:
@@ -84,3 +86,21 @@ def mapping_problems(mapping: DataFrame) -> DataFrame:
     bad = active.where(blank("label") | (blank("account_code") & blank("account_name"))).select("organization", "account_code", F.lit("incomplete").alias("problem"), F.lit(1).cast("long").alias("n"))
     twice = active.where(~blank("account_code")).groupBy("organization", "account_code").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return bad.unionByName(twice.select("organization", "account_code", F.lit("duplicate").alias("problem"), "n"))
+
+
+# fixed values: what a mapping row is without the field
+MAPPING_DEFAULTS = {"report_template": "MidofficeData_KeyMetrics_PL_FY2526", "section": "expense", "organization": "all", "sign_rule": "positive"}
+MAPPING_FIELDS = ["report_template", "section", "label", "account_id", "account_code", "account_name", "organization", "sign_rule"]
+
+
+def save_mapping(table: VersionedTable, mapping: DataFrame, by: str, at: str, expected: int | None = None) -> dict:
+    """Stores an account mapping as the next version, unless ``mapping_problems`` finds any or somebody else saved since ``expected``.
+
+    Inactive blank rows go; fields without a value take their default; ``at`` and ``by`` are stored on each row."""
+    word = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in mapping.columns else F.lit("")
+    m = mapping.select(*[F.when(word(c) == "", F.lit(MAPPING_DEFAULTS.get(c, ""))).otherwise(word(c)).alias(c) for c in MAPPING_FIELDS], F.coalesce("is_active", F.lit(False)).alias("is_active"), F.lit(at).alias("updated_at"), F.when(word("updated_by") == "", F.lit(by)).otherwise(word("updated_by")).alias("updated_by"))
+    found = {r["problem"]: r["n"] for r in mapping_problems(m).groupBy("problem").agg(F.count(F.lit(1)).alias("n")).collect()}  # two kinds
+    if found:
+        return {"status": "error", "errors": found, "saved_count": 0}
+    version = table.save(m.where(F.concat("label", "account_id", "account_code", "account_name") != ""), expected)
+    return {"status": "success", "errors": {}, "saved_count": table.load(version).count(), "version": version}

@@ -11,7 +11,7 @@ from ledgerloom.functions import money, text
 from ledgerloom.operators import bank_matching, relational, tax_matching
 from ledgerloom.operators.nearest import Rules, search
 from ledgerloom.plans import catalog, consolidated, gold, mis, periods, rules, silver, vendor
-from ledgerloom.sources import bridge, ingest
+from ledgerloom.sources import bridge, ingest, templates
 from ledgerloom.streaming import bronze_stream
 
 QUERIES: dict = {}
@@ -722,6 +722,23 @@ def vendor_filter_options(spark, sf_dir):
     return o.select("option_type", F.size("options").cast("long").alias("n"), F.array_min("options").alias("first_option"), F.array_max("options").alias("last_option"))
 
 
+@query("statement_transactions", """
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, CAST(o_orderdate AS DATE) AS transaction_date,
+CASE WHEN o_orderkey % 5 = 3 THEN 'BALANCE B/F' ELSE o_orderpriority || ' ref' || o_orderkey END AS narration,
+CASE WHEN o_orderkey % 5 <> 3 AND o_orderstatus = 'F' THEN round(o_totalprice, 2) ELSE 0.0 END AS debit_amount, CASE WHEN o_orderkey % 5 <> 3 AND o_orderstatus <> 'F' THEN round(o_totalprice, 2) ELSE 0.0 END AS credit_amount,
+CASE WHEN o_orderkey % 6 = 1 THEN -1 ELSE 1 END * round(o_totalprice + 1000, 2) AS balance_amount FROM orders""")
+def statement_transactions(spark, sf_dir):
+    money = ("debit_amount", "credit_amount", "balance_amount")
+    return templates.transactions(bridge.statement_lines(spark, sf_dir)).withColumns({c: F.col(c).cast("double") for c in money})
+
+
+@query("statement_summary", """
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, count(*) AS n_rows, CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date FROM orders GROUP BY 1""")
+def statement_summary(spark, sf_dir):
+    heads = templates.Template(debit_column_x_min=None, debit_column_x_max=None, credit_column_x_min=None, credit_column_x_max=None)
+    return templates.summary(templates.transactions(bridge.statement_lines(spark, sf_dir), heads))
+
+
 @query("event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return bronze_stream.event_counts(_table(spark, sf_dir, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", _d("total"))

@@ -146,3 +146,33 @@ def books_lines(spark, sf_dir) -> DataFrame:
     s, k = _tax_side(spark, sf_dir), F.col("k")
     tax = F.round(F.col("taxable") * 0.18, 2)
     return s.where(k % 11 != 7).select(F.concat(F.lit("b-"), k).alias("books_record_id"), F.lit("bill").alias("books_source_type"), F.col("name").alias("party_name"), F.col("gstin"), F.concat(F.lit("INV-"), k).alias("invoice_number"), F.col("day").cast("string").alias("books_invoice_date"), F.col("taxable").alias("books_taxable_value"), tax.alias("books_igst_amount"), F.lit(0.0).alias("books_cgst_amount"), F.lit(0.0).alias("books_sgst_amount"), tax.alias("books_tax_amount"), F.round(F.col("taxable") + tax, 2).alias("books_invoice_value"), k.alias("row_ord"))
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the lines of bank statements, one statement a customer, in five layouts by order number; amounts of some go over to the
+    next page, whose head stands between."""
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    sum_, left = F.format_number("o_totalprice", 2), F.format_number(F.col("o_totalprice") + 1000, 2)
+    left = F.when(F.col("k") % 6 == 1, F.concat(left, F.lit("-"))).otherwise(left)
+    money_x = F.when(F.col("o_orderstatus") == "F", F.lit(361.0)).otherwise(F.lit(446.0))
+    first, second = F.date_format("o_orderdate", "MMM d yyyy"), F.date_format("o_orderdate", "dd-MMM-yyyy")
+
+    def line(page: int, *words: tuple) -> Column:
+        cells = F.array(*[F.struct(text.alias("text"), F.lit(x).cast("double").alias("x0") if isinstance(x, (int, float)) else x.alias("x0")) for text, x in words])
+        return F.struct((F.col("k") * 2 + page).alias("page"), F.array_join(F.transform(cells, lambda w: w["text"]), " ").alias("text"), cells.alias("words"))
+
+    t = lambda x: F.lit(x)
+    who, what = F.concat(F.lit("ref"), F.col("k")), F.col("o_orderpriority")
+    head = [line(1, (t("DD"), 40), (t("History"), 60), (t("Page"), 90)), line(1, (t("Date"), 40), (t("Transaction"), 70), (t("Narrative"), 120), (t("Debit"), 360), (t("Credit"), 445), (t("Ledger"), 530), (t("Balance"), 560), (t("Value"), 600))]
+    layouts = [
+        F.array(line(0, (first, 40), (what, 80), (who, 140), (sum_, money_x), (left, 531))),
+        F.array(line(0, (second, 40), (what, 80)), *head, line(1, (who, 140), (sum_, money_x), (left, 531))),
+        F.array(line(0, (what, 80), (second, 140), (who, 180), (sum_, money_x)), *head, line(1, (left, 531))),
+        F.array(line(0, (first, 40), (t("Balance"), 80), (t("B/F"), 120), (left, 531))),
+        F.array(line(0, (first, 40), (what, 80)), line(0, (who, 140)), line(0, (t(""), 0)), line(0, (sum_, money_x), (left, 531))),
+    ]
+    chosen = F.when(F.col("k") % 5 == 0, layouts[0])
+    for i, x in enumerate(layouts[1:], 1):
+        chosen = chosen.when(F.col("k") % 5 == i, x)
+    d = o.select(F.col("o_custkey").cast("string").alias("doc_id"), F.posexplode(chosen).alias("line_no", "x"))
+    return d.select("doc_id", "x.page", "line_no", "x.text", "x.words")
