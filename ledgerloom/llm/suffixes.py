@@ -3,16 +3,24 @@
 Words are hashed; of each ``SPREAD`` neighbouring ``K``-word grams the one with the smallest hash is kept (a
 minimiser), so any passage of ``SPREAD + K - 1`` words or more has the same kept positions wherever it stands.
 Suffixes are kept at these positions only, and of them those whose first ``K`` words occur elsewhere, too. They
-are sorted over the cluster by their words (ranges are drawn from a sample and cut within equal suffixes, too),
-neighbours are compared, and each match is extended to the right and to the left, at most ``REACH`` words each
-way: a longer passage is covered by the matches of its further minimisers. Matches of ``MIN_WORDS`` words or
-more are repeats. The last suffix of a range and the first of the next are compared in a step of their own.
+are sorted over the cluster, neighbours are compared, and each match is extended to the right and to the left, at
+most ``REACH`` words and ``K`` more each way: a longer passage is covered by the matches of its further minimisers.
+Matches of ``MIN_WORDS`` words or more are repeats.
 
-Only neighbours are compared (``NEAR`` on each side), so a group of copies costs time in proportion to its
-size. A long match on the left may then stand between others that are longer on the right only. What neighbours
-miss is settled exactly: texts that share a ``LONG``-word minimiser (each passage of ``MIN_WORDS`` words has
-one) have all their windows of ``MIN_WORDS`` words counted, and repeated windows join the spans. Equal texts have
-equal spans; they are joined by a hash of the text.
+One order isn't enough: the neighbour that agrees longest to the right may agree little to the left. So suffixes are
+sorted three times, and only neighbours are ever compared (ranges are drawn from a sample and cut within equal suffixes,
+too, so a hot suffix is no task of its own; the ends of ranges are compared in a step of their own):
+
+* by the words ahead: a suffix's longest agreement to the right, R; without R + words in front >= ``MIN_WORDS`` it goes;
+* by the words behind, read backward: its longest agreement to the left, L; without L + R >= ``MIN_WORDS`` it goes;
+* where a pair could reach further to the left than the first neighbour and further to the right than the second, by
+  (r words ahead, words behind) for each such length r: the neighbour there has the longest agreement to the left among all
+  that agree in r words ahead, which covers every pair of exactly r. Rows of an anchor take part at the lengths between
+  these two neighbours only; a suffix that has a whole copy never asks for it.
+
+So every window of ``MIN_WORDS`` words that occurs twice is covered, at a cost that follows the number of suffixes, not
+of pairs. The third sort holds a suffix once for each length that is open, at most ``MIN_WORDS - K + 1`` times.
+Equal texts have equal spans; they are joined by a hash of the text.
 
 Null and empty texts, and texts below ``MIN_WORDS`` words: no repeats. Repeated rows are repeats of each
 other. Empty tables give empty results; all columns pass through ``mark`` (``n_words n_repeated repeats``
@@ -21,6 +29,8 @@ are replaced).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import chunks, inside, mix, packed, unpacked, window_hashes
-from .store import materialize
-from .substrings import intervals, repeated_spots, with_spans
+from .store import materialize, small
+from .substrings import repeated_spots, with_spans
 
-MIN_WORDS, K, SPREAD, REACH, NEAR = 50, 8, 32, 50, 2
-LONG = MIN_WORDS // 2
+MIN_WORDS, K, SPREAD, REACH = 50, 8, 32, 50
 
 
 def minimisers(c, k: int = K, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +94,6 @@ def _common(a, na, b, nb) -> np.ndarray:
 
 _SUFFIX = "anchor long, ahead binary, behind binary, text_key long, at int"
 _NAMES = ["anchor", "ahead", "behind", "text_key", "at"]
-_FOUND = "kind int, part int, text_key long, start int, end int, anchor long, ahead binary, behind binary, at int"
 
 
 def suffixes(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -112,53 +120,87 @@ def suffixes(docs: DataFrame, places: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, _SUFFIX)
 
 
-def _compare(tables, part: int):
-    """Matches of neighbours in a sorted stream, and its first and last rows as kind 1."""
-
-    def matches(t):
-        n = len(t)
-        anchor, key, at = (np.asarray(t.column(x)) for x in ("anchor", "text_key", "at"))
-        a, na = _matrix(t.column("ahead").combine_chunks() if isinstance(t.column("ahead"), pa.ChunkedArray) else t.column("ahead"))
-        z, nz = _matrix(t.column("behind"))
-        out = []
-        for d in range(1, NEAR + 1):
-            i = np.flatnonzero(anchor[d:] == anchor[:-d]) if n > d else np.empty(0, np.int64)
-            if not len(i):
-                continue
-            right, left = _common(a[i], na[i], a[i + d], na[i + d]), _common(z[i], nz[i], z[i + d], nz[i + d])
-            ok = right + left >= MIN_WORDS
-            for j in (i[ok], i[ok] + d):
-                out.append((key[j], at[j] - left[ok], at[j] + right[ok]))
-        return [np.concatenate(x) for x in zip(*out)] if out else None
-
-    def spans(key, start, end):
-        rows = np.unique(np.stack((key, start.astype(np.int64), end.astype(np.int64)), 1), axis=0)
-        n, empty = len(rows), pa.array([None] * len(rows), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].astype(np.int32)), pa.array(np.zeros(n, np.int64)), empty, empty, pa.array(np.zeros(n, np.int32))], [x.split()[0] for x in _FOUND.split(", ")])
-
-    def border(t, edge: int):
-        n = len(t)
-        order = pa.array(np.arange(n, dtype=np.int32) + edge)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, part, np.int32)), t.column("text_key"), order, pa.array(np.zeros(n, np.int32)), t.column("anchor"), t.column("ahead"), t.column("behind"), t.column("at")], [x.split()[0] for x in _FOUND.split(", ")])
-
-    tail = None
-    for b in tables:
+def _met(batches, by_left: bool):
+    """Rows of a sorted stream with ``l`` and ``r``, the words in front and ahead in which they agree with the better neighbour (zeros
+    without one of the same anchor and level), and ``edge`` for the first and the last row, of which one neighbour is elsewhere."""
+
+    def paired(t):
+        anchor, level = np.asarray(t.column("anchor")), np.asarray(t.column("level"))
+        left, right = np.zeros(max(0, len(anchor) - 1), np.int32), np.zeros(max(0, len(anchor) - 1), np.int32)
+        i = np.flatnonzero((anchor[1:] == anchor[:-1]) & (level[1:] == level[:-1]))
+        if len(i):
+            a, na = _matrix(t.column("ahead"))
+            z, nz = _matrix(t.column("behind"))
+            right[i], left[i] = _common(a[i], na[i], a[i + 1], na[i + 1]), _common(z[i], nz[i], z[i + 1], nz[i + 1])
+            apart = right < level[:-1]
+            left[apart], right[apart] = 0, 0
+        return left, right
+
+    def done(t, lo: int, hi: int, first: bool, last: bool):
+        left, right = (np.concatenate(([0], x, [0])).astype(np.int32) for x in paired(t))
+        score = left * 64 + right if by_left else right * 64 + left
+        after = score[1:] > score[:-1]
+        l, r = (np.where(after, x[1:], x[:-1])[lo:hi] for x in (left, right))
+        edge = np.zeros(hi - lo, bool)
+        if hi > lo:
+            edge[0] |= first
+            edge[-1] |= last
+        part = t.slice(lo, hi - lo)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(l), pa.array(r), pa.array(edge)], [*part.schema.names, "l", "r", "edge"])
+
+    held, given = None, 0  # the last rows seen, and how many of them were given out
+    for b in batches:
         if not b.num_rows:
             continue
-        if tail is None:
-            yield border(b.slice(0, NEAR), 0)
-            joint = b
+        t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if t.num_rows - 1 > given:
+            yield done(t, given, t.num_rows - 1, not given, False)
+            given = 1
+            held = t.slice(t.num_rows - 2)
         else:
-            joint = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-        found = matches(joint)
-        if found is not None:
-            yield spans(*found)
-        tail = joint.slice(max(0, joint.num_rows - NEAR))
-    if tail is not None:
-        yield border(tail, NEAR)
+            held = t
+    if held is not None:
+        yield done(held, given, held.num_rows, not given, True)
+
 
+def _neighbours(df: DataFrame, by_left: bool, *order: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with what each row has in common with its better neighbour in ``order``; the ends of all ranges among themselves."""
+    schema = T.StructType([*df.schema.fields, T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType()), T.StructField("edge", T.BooleanType())])
 
-def _places(docs: DataFrame, k: int, spread: int) -> DataFrame:
+    def compare(batches):
+        yield from _met(batches, by_left)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, schema))
+    ends = met.where("edge").drop("l", "r", "edge").coalesce(1).sortWithinPartitions(*order)  # two rows a range
+    return met, ends.mapInArrow(compare, schema)
+
+
+def _spans(df: DataFrame, l: str = "l", r: str = "r") -> DataFrame:
+    return df.where(F.col(l) + F.col(r) >= MIN_WORDS).select("text_key", (F.col("at") - F.col(l)).alias("start"), (F.col("at") + F.col(r)).alias("end"))
+
+
+def matches(kept: DataFrame) -> DataFrame:
+    """(text_key, start, end) of suffixes that agree with another in ``MIN_WORDS`` words or more around their anchor."""
+    words, most = F.length("behind") / 4, REACH + K
+    ahead, ends_a = _neighbours(kept.withColumn("level", F.lit(0)), False, "anchor", "ahead", "behind", "text_key", "at")
+    ahead = ahead.where(F.col("edge") | (F.col("r") + words >= MIN_WORDS)).withColumnsRenamed({"l": "la", "r": "ra", "edge": "ea"})
+    both, ends_b = _neighbours(ahead, True, "anchor", "behind", "ahead", "text_key", "at")
+    # bounds of what any other suffix has in common; at the end of a range the other neighbour isn't known
+    both = both.withColumns({"most_r": F.when(F.col("ea"), F.lit(most)).otherwise(F.col("ra")), "most_l": F.when(F.col("edge"), F.lit(REACH)).otherwise(F.col("l"))}).where(F.col("most_l") + F.col("most_r") >= MIN_WORDS)
+    both = both.withColumns({"lo": F.greatest(F.lit(K), MIN_WORDS - F.col("most_l")), "hi": F.least(F.lit(MIN_WORDS), "most_r")})
+    both = both.withColumn("open_lo", F.greatest("lo", F.when(F.col("edge"), F.lit(0)).otherwise(F.col("r") + 1)))
+    open_ = both.where((F.col("open_lo") <= F.col("hi")) & (F.col("ea") | (F.col("la") < F.col("most_l"))))
+    open_ = materialize(open_.groupBy("anchor").agg(F.min("open_lo").alias("from"), F.max("hi").alias("to")))
+    again = both.drop("level").join(small(open_), "anchor").withColumns({"lo": F.greatest("lo", "from"), "hi": F.least("hi", "to")}).where("lo <= hi")
+    again = again.select("*", F.explode(F.sequence("lo", "hi")).alias("level")).where(F.length("ahead") >= 4 * F.col("level"))
+    again = again.select("anchor", "level", F.expr("substring(ahead, 1, 4 * level)").alias("head"), "ahead", "behind", "text_key", "at")
+    levels, ends_c = _neighbours(again, True, "anchor", "level", "head", "behind", "text_key", "at")
+    parts = [_spans(ahead, "la", "ra"), *map(_spans, (both, levels, ends_a, ends_b, ends_c))]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _places(docs: DataFrame) -> DataFrame:
     """(text_key, intervals): the ranks of the minimisers of a text that occur elsewhere, too."""
 
     def finish(doc, rank):
@@ -166,43 +208,16 @@ def _places(docs: DataFrame, k: int, spread: int) -> DataFrame:
         return rank.astype(np.uint32), np.append(edge, len(doc)), doc[edge]
 
     def spots(c):
-        at, h = minimisers(c, k, spread)
+        at, h = minimisers(c)
         return np.diff(np.searchsorted(at, c.first)), h
 
     return repeated_spots(docs, spots, finish)
 
 
-def settled(docs: DataFrame) -> DataFrame:
-    """(text_key, start, end) of all repeated windows of ``MIN_WORDS`` words, merged where they meet."""
-    long = _places(docs, LONG, MIN_WORDS - LONG + 1)
-    some = with_spans(docs.select(F.col("text").cast("string").alias("text")), long).where("__spans IS NOT NULL").drop("__spans")
-
-    def rows(batches):
-        for b in batches:
-            values, bounds = unpacked(b.column(1), np.uint32)
-            pairs = values.reshape(-1, 2).astype(np.int32)
-            keys = np.repeat(np.asarray(b.column(0)), np.diff(bounds) // 2)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["text_key", "start", "end"])
-
-    return intervals(some, MIN_WORDS).mapInArrow(rows, "text_key long, start int, end int")
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(text_key, intervals): for each text with repeats, packed uint32 pairs [first word, end word)."""
-    places = _places(docs, K, SPREAD)
-    kept = suffixes(docs, places)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = kept.repartitionByRange(n, "anchor", "ahead", "text_key", "at").sortWithinPartitions("anchor", "ahead", "text_key", "at")
-
-    def compare(batches):
-        from pyspark import TaskContext
-
-        yield from _compare(batches, TaskContext.get().partitionId())
-
-    found = materialize(ordered.mapInArrow(compare, _FOUND))
-    borders = found.where("kind = 1").coalesce(1).sortWithinPartitions("anchor", "ahead", "text_key", "at", "part", "start").select(*_NAMES)
-    across = borders.mapInArrow(lambda batches: _compare(batches, 0), _FOUND).where("kind = 0")
-    spans = found.where("kind = 0").unionByName(across).select("text_key", "start", "end").unionByName(settled(docs)).distinct().groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    kept = suffixes(docs, _places(docs))
+    spans = matches(kept).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
 
     def merged(batches):
         for b in batches:

@@ -50,6 +50,33 @@ def test_passages_with_a_shared_tail(spark):
     assert {r["doc_id"]: r["n_repeated"] for r in suffixes.mark(df).collect()} == want
 
 
+def test_matches_of_every_reach_around_one_core(spark):
+    """One core in many texts, of which some agree further on the left, others on the right: no neighbour of one order has them all."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(300)]
+    core = drawn(vocab, 12, rng).split()
+    rows = []
+    for _ in range(60):
+        left, right = rng.randrange(5, 45), rng.randrange(5, 45)
+        front, back = drawn(vocab, left, rng).split(), drawn(vocab, right, rng).split()
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            a, b = rng.randrange(0, left + 1), rng.randrange(0, right + 1)
+            rows.append(" ".join([*drawn(vocab, 45 - a, rng).split(), *front[a:], *core, *back[:b], *drawn(vocab, 45 - b, rng).split()]))
+    rows += [rows[3]] * 2 + ["a " * 130, "", None]
+    rng.shuffle(rows)
+    words = [(t or "").split() for t in rows]
+    seen = collections.Counter(tuple(w[j : j + 50]) for w in words for j in range(len(w) - 49))
+    want = [len({k for j in range(len(w) - 49) if seen[tuple(w[j : j + 50])] > 1 for k in range(j, j + 50)}) for w in words]
+    assert sum(0 < n < 100 for n in want) > 10
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r["doc_id"]: r["n_repeated"] for r in suffixes.mark(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOC)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [got[i] for i in range(len(rows))] == want
+
+
 # ---- 9
 
 
