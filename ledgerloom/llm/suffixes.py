@@ -13,10 +13,10 @@ too, so a hot suffix is no task of its own; the ends of ranges are compared in a
 
 * by the words ahead: a suffix's longest agreement to the right, R; without R + words in front >= ``MIN_WORDS`` it goes;
 * by the words behind, read backward: its longest agreement to the left, L; without L + R >= ``MIN_WORDS`` it goes;
-* where a pair could reach further to the left than the first neighbour and further to the right than the second, by
-  (r words ahead, words behind) for each such length r: the neighbour there has the longest agreement to the left among all
+* where these two are not both repeats, and a pair could reach further to the left than the first and further to the right
+  than the second, by (r words ahead, words behind) for each such length r: the neighbour there has the longest agreement to the left among all
   that agree in r words ahead, which covers every pair of exactly r. Rows of an anchor take part at the lengths between
-  these two neighbours only; a suffix that has a whole copy never asks for it.
+  these two neighbours only. Suffixes with equal words on both sides cover each other in the first order and go on as one.
 
 So every window of ``MIN_WORDS`` words that occurs twice is covered, at a cost that follows the number of suffixes, not
 of pairs. The third sort holds a suffix once for each length that is open, at most ``MIN_WORDS - K + 1`` times.
@@ -122,22 +122,25 @@ def suffixes(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def _met(batches, by_left: bool):
     """Rows of a sorted stream with ``l`` and ``r``, the words in front and ahead in which they agree with the better neighbour (zeros
-    without one of the same anchor and level), and ``edge`` for the first and the last row, of which one neighbour is elsewhere."""
+    without one of the same anchor and level), ``edge`` for the first and the last row, of which one neighbour is elsewhere, and
+    ``twin`` for a row whose words in front and ahead are those of the row before."""
 
     def paired(t):
         anchor, level = np.asarray(t.column("anchor")), np.asarray(t.column("level"))
         left, right = np.zeros(max(0, len(anchor) - 1), np.int32), np.zeros(max(0, len(anchor) - 1), np.int32)
+        twin = np.zeros(len(left), bool)
         i = np.flatnonzero((anchor[1:] == anchor[:-1]) & (level[1:] == level[:-1]))
         if len(i):
             a, na = _matrix(t.column("ahead"))
             z, nz = _matrix(t.column("behind"))
             right[i], left[i] = _common(a[i], na[i], a[i + 1], na[i + 1]), _common(z[i], nz[i], z[i + 1], nz[i + 1])
+            twin[i] = (right[i] == na[i]) & (na[i] == na[i + 1]) & (left[i] == nz[i]) & (nz[i] == nz[i + 1])
             apart = right < level[:-1]
             left[apart], right[apart] = 0, 0
-        return left, right
+        return left, right, twin
 
     def done(t, lo: int, hi: int, first: bool, last: bool):
-        left, right = (np.concatenate(([0], x, [0])).astype(np.int32) for x in paired(t))
+        left, right, twin = (np.concatenate(([0], x, [0])).astype(np.int32) for x in paired(t))
         score = left * 64 + right if by_left else right * 64 + left
         after = score[1:] > score[:-1]
         l, r = (np.where(after, x[1:], x[:-1])[lo:hi] for x in (left, right))
@@ -146,7 +149,7 @@ def _met(batches, by_left: bool):
             edge[0] |= first
             edge[-1] |= last
         part = t.slice(lo, hi - lo)
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(l), pa.array(r), pa.array(edge)], [*part.schema.names, "l", "r", "edge"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(l), pa.array(r), pa.array(edge), pa.array(twin[lo:hi] > 0)], [*part.schema.names, "l", "r", "edge", "twin"])
 
     held, given = None, 0  # the last rows seen, and how many of them were given out
     for b in batches:
@@ -165,14 +168,14 @@ def _met(batches, by_left: bool):
 
 def _neighbours(df: DataFrame, by_left: bool, *order: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with what each row has in common with its better neighbour in ``order``; the ends of all ranges among themselves."""
-    schema = T.StructType([*df.schema.fields, T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType()), T.StructField("edge", T.BooleanType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType()), T.StructField("edge", T.BooleanType()), T.StructField("twin", T.BooleanType())])
 
     def compare(batches):
         yield from _met(batches, by_left)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, schema))
-    ends = met.where("edge").drop("l", "r", "edge").coalesce(1).sortWithinPartitions(*order)  # two rows a range
+    ends = met.where("edge").drop("l", "r", "edge", "twin").coalesce(1).sortWithinPartitions(*order)  # two rows a range
     return met, ends.mapInArrow(compare, schema)
 
 
@@ -185,12 +188,15 @@ def matches(kept: DataFrame) -> DataFrame:
     words, most = F.length("behind") / 4, REACH + K
     ahead, ends_a = _neighbours(kept.withColumn("level", F.lit(0)), False, "anchor", "ahead", "behind", "text_key", "at")
     ahead = ahead.where(F.col("edge") | (F.col("r") + words >= MIN_WORDS)).withColumnsRenamed({"l": "la", "r": "ra", "edge": "ea"})
-    both, ends_b = _neighbours(ahead, True, "anchor", "behind", "ahead", "text_key", "at")
+    once = ahead.where("NOT twin").drop("twin")  # a twin has all that it can have in common with any other
+    both, ends_b = _neighbours(once, True, "anchor", "behind", "ahead", "text_key", "at")
     # bounds of what any other suffix has in common; at the end of a range the other neighbour isn't known
-    both = both.withColumns({"most_r": F.when(F.col("ea"), F.lit(most)).otherwise(F.col("ra")), "most_l": F.when(F.col("edge"), F.lit(REACH)).otherwise(F.col("l"))}).where(F.col("most_l") + F.col("most_r") >= MIN_WORDS)
+    both = both.withColumns({"most_r": F.when(F.col("ea"), F.lit(most)).otherwise(F.col("ra")), "most_l": F.when(F.col("edge"), F.lit(REACH)).otherwise(F.greatest("l", "la"))}).where(F.col("most_l") + F.col("most_r") >= MIN_WORDS)
     both = both.withColumns({"lo": F.greatest(F.lit(K), MIN_WORDS - F.col("most_l")), "hi": F.least(F.lit(MIN_WORDS), "most_r")})
     both = both.withColumn("open_lo", F.greatest("lo", F.when(F.col("edge"), F.lit(0)).otherwise(F.col("r") + 1)))
-    open_ = both.where((F.col("open_lo") <= F.col("hi")) & (F.col("ea") | (F.col("la") < F.col("most_l"))))
+    # two repeats, one as far to the right as any and one as far to the left as any, leave nothing to cover
+    whole = ~F.col("ea") & ~F.col("edge") & (F.col("la") + F.col("ra") >= MIN_WORDS) & (F.col("l") + F.col("r") >= MIN_WORDS)
+    open_ = both.where((F.col("open_lo") <= F.col("hi")) & (F.col("ea") | (F.col("la") < F.col("most_l"))) & ~whole)
     open_ = materialize(open_.groupBy("anchor").agg(F.min("open_lo").alias("from"), F.max("hi").alias("to")))
     again = both.drop("level").join(small(open_), "anchor").withColumns({"lo": F.greatest("lo", "from"), "hi": F.least("hi", "to")}).where("lo <= hi")
     again = again.select("*", F.explode(F.sequence("lo", "hi")).alias("level")).where(F.length("ahead") >= 4 * F.col("level"))
