@@ -3,7 +3,7 @@
 import collections
 import random
 
-from ledgerloom.llm import html_text, quality, suffixes
+from ledgerloom.llm import html_text, quality, suffixes, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,6 +12,17 @@ def drawn(vocab, n, rng):
     return " ".join(rng.choice(vocab) for _ in range(n))
 
 
+# ---- 1
+
+
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    made = ["http://a.com/en/1", "http://x.example.com/en/7", "http://a.net/de/1", "http://example.net/de/8", "http://example.net/de/9", "http://a.org/es/"]
+    spark.createDataFrame(list(enumerate(made)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.op1_url_filters(spark, str(tmp_path)).collect()}
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
+    assert got == dict(enumerate(want))
+
+
 # ---- 6
 
 
