@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import bank_matching, tax_matching
 from ledgerloom.operators.assign import greedy
+from ledgerloom.sources import bridge
 
 BANK = "bank_line_id string, upload_id string, bank_date string, bank_narration string, debit_amount double, credit_amount double, balance_amount double, bank_amount double, row_ord long"
 BOOK = "accounting_record_id string, accounting_date string, accounting_party_name string, reference_number string, transaction_number string, transaction_type string, accounting_amount double, row_ord long"
@@ -435,3 +436,15 @@ def test_a_number_of_many_suppliers_costs_its_days(spark):
     few = b.where("ord < 20")
     out = tax_matching.safeguards(g.where("ord < 30"), few.select(*tax_matching._NARROW), few).select("match_level", "g_ord").collect()
     assert len(out) == 20 and {(r["match_level"], r["g_ord"]) for r in out} == {("P6_SAFEGUARD_INVOICE", 0)}
+
+
+def test_a_level_by_number_asks_for_its_own_join(spark, data):
+    """Each level alone gives the rows of the whole ladder with that level; those by number need one join, none by value."""
+    lines, books = tax_matching.prepare_lines(bridge.gstr_lines(spark, data)), tax_matching.prepare_books(bridge.books_lines(spark, data))
+    shown = lambda df: sorted(map(tuple, df.select("g_ord", "b_ord", "match_status", "confidence_score", "match_reason", "amount_difference").collect()))
+    whole = tax_matching.ladder(lines, books).localCheckpoint()
+    for rank, name in enumerate(tax_matching.LEVELS):
+        one = tax_matching.level(lines, books, name)
+        assert shown(one) == shown(whole.where(F.col("match_level") == name))
+        if rank <= 3:
+            assert one._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
