@@ -83,6 +83,13 @@ def test_run_metadata_is_on_every_row(run):
     assert [tuple(r) for r in got] == [("gstr-upload-1", "may.xlsx", "2026-06-01T00:00:00", "2026-05-01", "2026-05-03", 5, 3)]
 
 
+def test_run_metadata_needs_no_matching(run):
+    lines, books, results = run
+    own = tax_matching.run_metadata(lines, books, upload={"upload_id": "gstr-upload-1", "file_name": "may.xlsx"}, at="2026-06-01T00:00:00")
+    assert own.collect() == results.select(*own.columns).distinct().collect()
+    assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counts_come_from_the_pass_that_reads_the_books(spark, run):
     lines, books, _ = run
     df, seen = tax_matching.observed(books, *tax_matching.span(lines.where("upload_id = 'gstr-upload-1'")))
