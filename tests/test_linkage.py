@@ -448,3 +448,35 @@ def test_a_level_by_number_asks_for_its_own_join(spark, data):
         assert shown(one) == shown(whole.where(F.col("match_level") == name))
         if rank <= 3:
             assert one._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+WORD_RULES = dict(days=3, charge_days=5, share=0.15, least=1.0, weights=(0.45, 0.25, 0.30), possible=0.5, charge=0.74, ratio=False)
+
+
+@pytest.mark.parametrize("often, room, seats", [(0, 500_000, 20_000), (10, 30, 20), (10**6, 30, 20)])
+def test_best_by_words_are_those_of_the_search_of_all_pairs(spark, often, room, seats):
+    """Frequent words only, both kinds, rare words only: charges, equal amounts, unknown days and blank texts included."""
+    from ledgerloom.operators import nearest
+
+    lines, records = _bank_case(random.Random(23), 250)
+    b, r = bank_matching._narrow(bank_matching.prepare_bank(bank(spark, *lines)), bank_matching.prepare_books(books(spark, *records)))
+    b = b.withColumn("words", F.when(F.col("row_ord") % 17 == 0, F.lit("")).otherwise(F.col("words")))
+    rules = nearest.Rules(**WORD_RULES)
+    rows = lambda df: {(x["row_ord"], x["book_ord"]): (x["score"], x["days"]) for x in df.collect()}
+    want = rows(nearest.search(b, r.withColumn("holder", F.lit(None).cast("long")), 3, True, rules))
+    assert rows(nearest.by_words(b, r, 3, rules, often, room, seats)) == want
+    assert len(want) > 300 and any(score == 0.74 for score, _ in want.values())
+
+
+def test_by_words_compares_a_line_with_the_next_amounts_only():
+    """Pairs that are scored grow with the lines, not with lines times records."""
+    import numpy as np
+
+    from ledgerloom.operators import nearest
+
+    rules, seen = nearest.Rules(**WORD_RULES), []
+    for n in (1000, 4000):
+        own, x = np.arange(n) * 5.0 + 1e6, np.arange(n) * 5.0 + 1e6 + 2
+        far = nearest._reach(own, x, 1, 0.25, 5, rules)
+        seen.append(sum(len(i) for i, _ in nearest._between(own, x, far)))
+    assert seen[1] < 4.2 * seen[0] and seen[0] < 300 * 1000
