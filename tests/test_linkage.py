@@ -480,3 +480,29 @@ def test_by_words_compares_a_line_with_the_next_amounts_only():
         far = nearest._reach(own, x, 1, 0.25, 5, rules)
         seen.append(sum(len(i) for i, _ in nearest._between(own, x, far)))
     assert seen[1] < 4.2 * seen[0] and seen[0] < 300 * 1000
+
+
+@pytest.mark.parametrize("rows", [60, 10**6])
+def test_a_crowd_of_one_value_and_day_is_not_paired(spark, monkeypatch, rows):
+    """Lines and books of close values and days, many of them equal, choose as a loop over all pairs would, in one task and in
+    many; the level by value writes no pair."""
+    from ledgerloom.operators import turns
+
+    rng = random.Random(8)
+    names = ["Vendor 1001", "Vendor 1002", "Vendor 77", "Alpha", ""]
+    day = lambda: rng.choice([None, *[f"2026-05-{d:02d}" for d in (1, 1, 1, 4, 9, 30)]])
+    value = lambda: round(rng.choice([100.0, 100.0, 100.5, 101.0, 99.0, 516.9, 517.3]), 2)
+    number = lambda i, side: f"INV-{i}" if rng.random() < 0.4 else f"{side}X{i}Y"
+    lines = [line(i, number(i, "P"), day(), value(), rng.choice(names), f"G{i % 3}", igst=i / 1000) for i in range(150)]
+    records = [book(i, number(i, "Q"), day(), value(), rng.choice(names), f"G{i % 3}", igst=i / 1000) for i in range(150)]
+    lines, records = ([tuple(round(x, 2) if isinstance(x, float) else x for x in r) for r in side] for side in (lines, records))
+    seen, first = set(), lambda side, cut: [r for r in side if (k := (r[3], _keys(r[4])["key"], r[5], *r[cut : cut + 4])) not in seen and not seen.add(k)]
+    want_lines, _ = first(lines, 7), seen.clear()
+    want = {x for x in tax_in_order(want_lines, first(records, 6)) if x[0] and x[2] in tax_matching.LEVELS}
+    monkeypatch.setattr(turns.choose, "__defaults__", (rows,))
+    monkeypatch.setattr(tax_matching, "by_value", lambda *a, **k: pytest.fail("pairs by value"))
+    g, b = tax_matching.prepare_lines(spark.createDataFrame(lines, GSTR)), tax_matching.prepare_books(spark.createDataFrame(records, TAXBOOK))
+    got = tax_matching.assigned(g, b).collect()
+    ids = {r["ord"]: r["line_id"] for r in g.collect()}, {r["ord"]: r["record_id"] for r in b.collect()}
+    assert {(ids[0][r["g_ord"]], ids[1][r["b_ord"]], tax_matching.LEVELS[r["level_rank"]]) for r in got} == want
+    assert sum(x[2] == "P5_AMOUNT_DATE_CANDIDATE" for x in want) > 30
