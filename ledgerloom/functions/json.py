@@ -34,8 +34,9 @@ def first_number(rec: str, *names: str) -> Column:
 
 
 def day(value: Column) -> Column:
-    """Only whole dates: a bare year or month is no date."""
-    return F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), value.try_cast("date"))
+    """Only whole dates: a bare year or month is no date, nor is an object or array. ``value`` stands here once: a filter on a day
+    copies the parse of the record for each time that it does."""
+    return F.regexp_extract(value, r"^(\d{4}-\d{1,2}-\d{1,2})$", 1).try_cast("date")
 
 
 def boolean(value: Column) -> Column:

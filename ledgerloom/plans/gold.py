@@ -45,11 +45,12 @@ def monthly_pl(raw: DataFrame) -> DataFrame:
     names = [("invoices", "invoice_date", "invoice_count", "revenue_amount"), ("bills", "bill_date", "bill_count", "expense_amount"), ("journals", "journal_date", "journal_count", "journal_adjustment_amount")]
     rows = None
     for entity, date, count, amount in names:
-        f = silver.fact(raw, entity).where(F.col(date).isNotNull())
+        f = silver.fact(raw, entity)
         own = f.select("source_org_key", "source_org_name", F.trunc(date, "MM").alias("report_month"), *[(F.lit(1 if c == count else 0)).cast("long").alias(c) for _, _, c, _ in names], *[(_known("amount_inr") if a == amount else F.lit(0)).cast("decimal(38,9)").alias(a) for _, _, _, a in names])
         rows = own if rows is None else rows.unionByName(own)
     keys, sums = ["source_org_key", "source_org_name", "report_month"], [c for _, _, c, _ in names] + [a for _, _, _, a in names]
-    org = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    # records without a date form groups of their own, dropped here: a filter on the date would parse each record again
+    org = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.count("report_month").alias("__dated")).where("__dated > 0").drop("__dated")
     # plain equality never joins null names: such rows show no amounts
     nameless = F.col("source_org_name").isNull()
     org = org.withColumns({c: F.when(nameless, F.lit(0)).otherwise(F.col(c)) for c in sums})

@@ -39,7 +39,7 @@ def details(raw: DataFrame, entity: str, start: date, end: date, per_org: bool =
     """
     df = bronze(raw, entity)
     fields = [f"{_SOURCE[entity]}_number", "customer_name", "vendor_name", _DATES[entity], "currency_code", "exchange_rate", "total", "notes", "reference_number"]
-    record, day = J.record(F.col("raw_json"), fields, ["line_items"]), J.day(J.text("r", _DATES[entity]))
+    record, day = J.record(F.col("raw_json"), fields, ["line_items"]), J.day(F.col(f"r.`{_DATES[entity]}`"))
     parsed = lambda x: x.withColumn("r", record).withColumn("__day", day).where(F.col("__day").between(F.lit(start), F.lit(end)))
     df = parsed(latest(df)) if per_org else latest(parsed(df), [F.col("source_record_id")])
     total = F.coalesce(_double(J.text("r", "total")), F.lit(0.0))

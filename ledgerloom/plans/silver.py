@@ -35,7 +35,7 @@ def n(*names: str) -> Column:
 
 
 def d(*names: str) -> Column:
-    return F.coalesce(*(J.day(J.scalar(F.col(f"r.`{x}`"))) for x in names))
+    return F.coalesce(*(J.day(F.col(f"r.`{x}`")) for x in names))
 
 
 def _currency() -> Column:
