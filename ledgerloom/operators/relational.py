@@ -27,6 +27,15 @@ def drop_legacy(df: DataFrame) -> DataFrame:
     return df.where("source_org_id IS NOT NULL").unionByName(legacy.join(scoped, legacy["source_record_id"] == scoped["__id"], "left_anti"))
 
 
+def latest_scoped(df: DataFrame) -> DataFrame:
+    """``drop_legacy`` of ``latest`` in one shuffle by record and one sort, which both windows share. Records without an id give way to
+    nobody: they are ranked apart, where the limit before the shuffle leaves one an organisation and task."""
+    known = latest(df.where("source_record_id IS NOT NULL").repartition("source_record_id"), [F.col("source_record_id"), org_key()])
+    scoped = F.max(F.col("source_org_id").isNotNull()).over(W.partitionBy("source_record_id"))
+    kept = known.withColumn("__scoped", scoped).where("source_org_id IS NOT NULL OR NOT __scoped").drop("__scoped")
+    return kept.unionByName(latest(df.where("source_record_id IS NULL")))
+
+
 def scd2(df: DataFrame, change: Column) -> DataFrame:
     """History of a dimension: loads whose attributes changed, with validity, ascending version and current flag."""
     by = W.partitionBy(org_key(), "source_record_id").orderBy("loaded_at", "run_id")

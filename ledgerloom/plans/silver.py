@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import json as J
 from ledgerloom.functions.money import with_inr
-from ledgerloom.operators.relational import current, drop_legacy, fact_versions, latest, scd2
+from ledgerloom.operators.relational import current, drop_legacy, fact_versions, latest, latest_scoped, scd2
 
 LINEAGE = ["run_id", "source_org_key", "source_org_id", "source_org_name", "source_country", "source_currency", "source_record_id", "loaded_at"]
 
@@ -136,7 +136,7 @@ def with_lines(df: DataFrame) -> DataFrame:
 def _documents(raw: DataFrame, entity: str, prefix: str, numbers: tuple, dates: tuple, totals: tuple) -> DataFrame:
     supply = ("destination_of_supply", "source_of_supply", "place_of_supply", "place_of_supply_code")
     names = _fields(_TAX, _GST, supply, numbers, dates, totals, ("vendor_id", "vendor_name", "due_date", "status", "currency_code", "exchange_rate", "sub_total", "taxable_amount", "balance", "payment_made", "amount_paid", "notes", "description"))
-    p = with_lines(parsed(drop_legacy(bronze(raw, entity)), names, ["line_items", "taxes"]))
+    p = with_lines(parsed(bronze(raw, entity), names, ["line_items", "taxes"]))
     return p.select(
         *LINEAGE, F.col("source_record_id").alias(f"{prefix}_id"), t(*numbers).alias(f"{prefix}_number"), t("vendor_id").alias("vendor_id"), t("vendor_name").alias("vendor_name"),
         d(*dates).alias(f"{prefix}_date"), d("due_date").alias("due_date"), t("status").alias("status"), _currency().alias("original_currency"), n("exchange_rate").alias("exchange_rate"),
@@ -173,6 +173,8 @@ def transactions_all(raw: DataFrame) -> DataFrame:
 
 _MONEY = {"invoices": ["sub_total_amount", "taxable_amount", *_TAX, "total_amount", "balance_amount"], "bills": ["sub_total_amount", "taxable_amount", *_TAX, "total_amount", "balance_amount", "amount_paid"]}
 _MONEY["expenses"] = _MONEY["bills"]
+#: Entities whose rows without an organisation give way to the same record with one.
+_SCOPED = ("bills", "expenses")
 _ALL = {"invoices": invoices_all, "bills": bills_all, "expenses": expenses_all, "journals": journals_all, "customer_payments": payments_all, "transactions": transactions_all}
 
 
@@ -183,9 +185,11 @@ def _money(df: DataFrame, entity: str) -> DataFrame:
 
 def fact(raw: DataFrame, entity: str) -> DataFrame:
     """Latest version of each record, amounts in both currencies. Versions are ranked before any JSON is parsed."""
-    return _money(_ALL[entity](latest(raw.where(F.col("entity_name") == entity))), entity)
+    rows = raw.where(F.col("entity_name") == entity)
+    return _money(_ALL[entity](latest_scoped(rows) if entity in _SCOPED else latest(rows)), entity)
 
 
 def fact_history(raw: DataFrame, entity: str) -> DataFrame:
     """Every version of invoices, bills or journals; version 1 is the newest."""
-    return _money(fact_versions(_ALL[entity](raw)), entity)
+    rows = raw.where(F.col("entity_name") == entity)
+    return _money(fact_versions(_ALL[entity](drop_legacy(rows) if entity in _SCOPED else rows)), entity)

@@ -193,3 +193,40 @@ def test_as_of_takes_the_last_day(spark):
     df = spark.createDataFrame([("2026-01-01", 1), ("2026-01-03", 2), ("2026-01-03", 3), ("2026-01-05", 4), (None, 5)], "d string, x int").withColumn("d", F.col("d").cast("date"))
     assert sorted(r["x"] for r in relational.as_of(df, "d", "2026-01-04").collect()) == [2, 3]
     assert relational.as_of(df, "d", "2025-01-01").count() == 0
+
+
+def test_bills_rank_and_give_way_in_one_shuffle(spark):
+    """The latest load of each record, and no row without an organisation beside one with; as ``drop_legacy`` of ``latest``."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import relational
+
+    rows = [(None, "1", 1, "a"), ("x", "1", 1, "a"), ("x", "1", 2, "b"), ("y", "1", 1, "a"), (None, "2", 1, "a"), (None, "2", 3, "b"), ("legacy", "3", 1, "a"), (None, "3", 2, "a"), (None, None, 1, "a"), (None, None, 1, "b"), ("x", None, 2, "a"), ("x", "4", 1, "b"), ("x", "4", 1, "a")]
+    df = spark.createDataFrame(rows, "source_org_id string, source_record_id string, load int, run_id string").withColumn("loaded_at", F.timestamp_seconds("load")).repartition(5)
+    found = relational.latest_scoped(df)
+    both = [sorted(x.select("source_org_id", "source_record_id", "load", "run_id").collect(), key=str) for x in (found, relational.drop_legacy(relational.latest(df)))]
+    assert both[0] == both[1] and len(both[0]) == 7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2  # records with an id, and those without
+
+
+def test_bills_carry_lines_as_texts_not_structs(spark, data):
+    """A line is JSON before its shuffle; the record reads as one JSON object with all of its lines in order."""
+    import json
+
+    from ledgerloom.sources import bridge
+
+    bills = bridge.bills(spark, data)
+    shuffled = [x for x in bills._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
+    assert len(shuffled) == 1
+    lines = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").collect():
+        lines.setdefault(r["l_orderkey"], []).append((r["l_linenumber"], r["l_partkey"], f"{r['l_extendedprice']:.2f}", f"{r['l_quantity']:.2f}"))
+    got = bills.where("run_id = 'run-1'").collect()
+    assert len(got) == len(lines)
+    for r in got:
+        k, record = int(r["source_record_id"]), json.loads(r["raw_json"])
+        own = sorted(lines[k], key=lambda x: (x[0], x[1]))
+        assert sorted((x["name"], x["item_total"]) for x in record["line_items"]) == sorted((f"Part {p}", a) for _, p, a, _ in own)
+        assert [x["name"] for x in record["line_items"]] == [f"Part {p}" for _, p, _, _ in own]
+        assert all(("line_item_taxes" in x) == (k % 3 == 0) for x in record["line_items"])
