@@ -4,6 +4,7 @@ import random
 from datetime import date
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,3 +507,34 @@ def test_a_crowd_of_one_value_and_day_is_not_paired(spark, monkeypatch, rows):
     ids = {r["ord"]: r["line_id"] for r in g.collect()}, {r["ord"]: r["record_id"] for r in b.collect()}
     assert {(ids[0][r["g_ord"]], ids[1][r["b_ord"]], tax_matching.LEVELS[r["level_rank"]]) for r in got} == want
     assert sum(x[2] == "P5_AMOUNT_DATE_CANDIDATE" for x in want) > 30
+
+
+def test_lines_compare_texts_of_near_amounts_only(monkeypatch):
+    """Four times the records on a day: no more pairs of texts, and the best are those of all pairs."""
+    import pandas as pd
+
+    from ledgerloom.operators import nearest
+
+    seen, in_order = [], nearest.in_order
+    monkeypatch.setattr(nearest, "in_order", lambda own, theirs, i, j: seen.append(len(i)) or in_order(own, theirs, i, j))
+    side = lambda at, words, off: pd.DataFrame({"ord": list(at), "day": 100, "amount": [1e5 + 200.0 * i + off for i in at], "words": [words.format(i * 37 % 1009, i * 7919 % 90001) for i in at], "charge": False, "holder": None})
+    for n in (1000, 4000):
+        records = nearest._Records(side(range(n), "customer {} inv {} customer payment", 0), True)
+        found = pd.concat(nearest._Search(side(range(300, 500), "receipt customer {} inv {}", 50), records, 5, True, bank_matching.RULES).run())
+    assert seen[0] == seen[1] < 200 * 700
+    lines, books_ = side(range(300, 320), "receipt customer {} inv {}", 50), side(range(1000), "customer {} inv {} customer payment", 0)
+    for line in lines.itertuples():
+        score = {r.ord: _bank_score(("", "", "2026-05-01", line.words, 0.0, 0.0, 0.0, line.amount), ("", "2026-05-01", r.words, "", "", "", r.amount))[0] for r in books_.itertuples() if abs(r.amount - line.amount) < 8e4}
+        want = sorted(score, key=lambda j: (-score[j], j))[:5]
+        assert found[found["row_ord"] == line.ord]["book_ord"].tolist() == want
+
+
+def test_matching_blocks_of_texts_at_the_edge_of_the_bits():
+    from ledgerloom.functions.ratio import Texts, matched
+
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("ab漢 1") for _ in range(n))
+    a, b = [some(n) for n in (0, 1, 63, 64, 65, 64)] + ["a" * 64], [some(n) for n in (0, 1, 64, 130, 199)] + ["a" * 64, "a" * 70]
+    i, j = (np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)))
+    want = [sum(m.size for m in SequenceMatcher(None, a[x], b[y]).get_matching_blocks()) for x, y in zip(i, j)]
+    assert matched(Texts(a), Texts(b), i, j).tolist() == want
