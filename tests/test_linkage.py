@@ -538,3 +538,16 @@ def test_matching_blocks_of_texts_at_the_edge_of_the_bits():
     i, j = (np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)))
     want = [sum(m.size for m in SequenceMatcher(None, a[x], b[y]).get_matching_blocks()) for x, y in zip(i, j)]
     assert matched(Texts(a), Texts(b), i, j).tolist() == want
+
+
+def test_records_of_a_week_are_dealt_once(spark, monkeypatch):
+    """One copy of a record for all lines of its week, up to ``DESKS``: copies for each 256 lines grew with the square of the rows."""
+    from ledgerloom.operators import nearest
+
+    dealt, deal = [], nearest._dealt
+    monkeypatch.setattr(nearest, "_dealt", lambda *a: dealt.append(deal(*a)) or dealt[-1])
+    day, amount = F.lit("2026-05-06").cast("date"), F.col("id").cast("double")
+    lines = spark.range(600).select(F.col("id").alias("row_ord"), day.alias("bank_day"), amount.alias("bank_amount"), F.lit("a").alias("words"), F.lit(False).alias("charge"))
+    records = spark.range(600).select(F.col("id").alias("book_ord"), day.alias("accounting_day"), amount.alias("accounting_amount"), F.lit("a").alias("b_words"), F.lit(False).alias("b_charge"), F.lit(None).cast("long").alias("holder"))
+    nearest.search(lines, records, 5, True, bank_matching.RULES)
+    assert dealt[0].count() == 1200
